@@ -59,3 +59,28 @@ def cohort_sizes(flags: DataFrame) -> DataFrame:
     }
     wide = flags.agg(*[F.count_if(c).alias(n) for n, c in names.items()])
     return wide.unpivot([], list(names), "cohort", "n")
+
+
+def with_enough_nights(nights: DataFrame, owner: str, minimum: int) -> DataFrame:
+    """Records whose owner has at least ``minimum`` records in the table."""
+    enough = nights.groupBy(owner).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= minimum)
+    return nights.join(enough.select(owner), owner, "left_semi")
+
+
+def snapshot(ids: DataFrame, name: str) -> DataFrame:
+    """The stored form of a cohort: its name and size beside every id."""
+    ids = ids.select(KEY).distinct()
+    size = ids.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("cohort"), "n")
+    return ids.withColumn("cohort", F.lit(name)).join(size, "cohort")
+
+
+def clinical_coverage(owners: DataFrame, clinical: DataFrame, owner: str = "patient_id") -> DataFrame:
+    """How many records and owners the clinical table covers."""
+    per_owner = owners.groupBy(owner).agg(F.count(F.lit(1)).alias("_n"))
+    known = clinical.select(owner).distinct().withColumn("_known", F.lit(True))
+    j = per_owner.join(known, owner, "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+    n_users, covered = F.count(F.lit(1)), F.count_if("_known")
+    return j.agg(
+        F.sum("_n").alias("n_nights"),
+        F.coalesce(F.sum(F.when(F.col("_known"), F.col("_n"))), F.lit(0)).alias("n_nights_covered"),
+        n_users.alias("n_users"), covered.alias("n_users_covered"), (n_users - covered).alias("n_users_missing"))

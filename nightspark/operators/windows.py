@@ -22,7 +22,7 @@ def scale_rows(scale: Column, p: Params) -> Column:
 
 def add_seconds(ts: Column, seconds: Column) -> Column:
     return F.timestamp_micros(
-        F.unix_micros(ts.cast("timestamp")) + (seconds * 1000000).cast("long")
+        F.unix_micros(ts.cast("timestamp")) + (seconds.cast("double") * 1e6).cast("long")
     ).cast("timestamp_ntz")
 
 

@@ -1,6 +1,6 @@
 """Imports every query module so that the registry is complete."""
 
-from nightspark.plans import core_queries  # noqa: F401
+from nightspark.plans import core_queries, gold_queries, series_queries  # noqa: F401
 from nightspark.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -14,13 +14,14 @@ from nightspark.operators.ranks import exact_percentiles, rank_table
 from nightspark.operators.scans import running
 
 KEY = "night_record_id"
-# fixed values: metrics compared across nights and aggregated per patient
-CROSS_NIGHT_METRICS = (
-    "odi_3", "ahi_3", "t90_frac", "hypoxic_burden_90", "mean_spo2", "min_spo2",
-    "sleep_efficiency", "ird_night", "mean_hr", "n_edos_total",
+# fixed values: metrics compared across nights, aggregated per patient, and
+# checked for stability
+CROSS_NIGHT_METRICS = ("ahi_3", "t90_frac", "odi_3")
+KEY_METRICS = (
+    "ahi_3", "t90_frac", "odi_3", "tst_s", "sleep_efficiency", "mean_spo2", "min_spo2", "mean_hr",
+    "n_edos_total", "mean_drop_pct",
 )
-KEY_METRICS = CROSS_NIGHT_METRICS
-STABILITY_METRICS = ("odi_3", "ahi_3", "t90_frac", "hypoxic_burden_90", "ird_night")
+STABILITY_METRICS = ("ahi_3", "t90_frac", "odi_3")
 
 
 def share(df: DataFrame, keys: Sequence[str], label: str, values: Sequence[str], name) -> DataFrame:
@@ -186,3 +187,14 @@ def event_states_multiscale(events: DataFrame, states: DataFrame) -> DataFrame:
         for s in C.STATE_K for c, n in (
             ("state_label", "state"), ("window_idx", "window_idx"), ("dist_to_centroid", "dist"))])
     return events.drop("spo2_curve", "hr_curve", "mov_curve").join(wide, [KEY, "ts_start"], "left")
+
+
+def with_flags(df: DataFrame, flags: DataFrame, model_version: str = "v1") -> DataFrame:
+    """Add the five gold cohort booleans and the model version."""
+    cols = ("in_quality", "in_strict", "in_high_tst", "flag_for_review", "b2_fail")
+    return df.join(flags.select(KEY, *cols), KEY, "left").withColumn("model_version", F.lit(model_version))
+
+
+def gold_curves(events: DataFrame, model_version: str = "v1") -> DataFrame:
+    return events.select(
+        KEY, "ts_start", "spo2_curve", "hr_curve", "mov_curve").withColumn("model_version", F.lit(model_version))

@@ -5,6 +5,8 @@ from nightspark.plans import (  # noqa: F401
     check_queries,
     core_queries,
     gold_queries,
+    io_queries,
+    model_queries,
     series_queries,
     stat_queries,
 )

@@ -131,7 +131,7 @@ _KS = (1, 2, 3, 5)
   q AS (SELECT patient_id, rep, k, avg(odi_3) AS pr, min(ref) AS ref FROM p CROSS JOIN (VALUES {', '.join(f'({k})' for k in _KS)}) ks(k) WHERE rn <= k AND k <= n GROUP BY patient_id, rep, k),
   c AS (SELECT k, rep, avg(abs(pr - ref)) AS mae, sqrt(avg((pr - ref) * (pr - ref))) AS rmse, corr(pr, ref) AS corr,
     avg(CASE WHEN (CASE WHEN pr < 5 THEN 0 WHEN pr < 15 THEN 1 WHEN pr < 30 THEN 2 ELSE 3 END) = (CASE WHEN ref < 5 THEN 0 WHEN ref < 15 THEN 1 WHEN ref < 30 THEN 2 ELSE 3 END) THEN 1.0 ELSE 0.0 END) AS agreement FROM q GROUP BY k, rep)
-  SELECT k, r6(avg(mae)) AS mae, r6(avg(rmse)) AS rmse, r6(avg(corr)) AS corr, r6(avg(agreement)) AS agreement FROM c GROUP BY k""")
+  SELECT CAST(k AS BIGINT) AS k, r6(avg(mae)) AS mae, r6(avg(rmse)) AS rmse, r6(avg(corr)) AS corr, r6(avg(agreement)) AS agreement FROM c GROUP BY k""")
 def _(L):
     return T.stabilization_curve(L.nights.filter("in_quality"), "patient_id", KEY, "odi_3", _KS, 5, 5)
 

@@ -5,7 +5,7 @@ Every operator takes its thresholds as arguments; the defaults live here.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 # --- fixed values: they must equal the published ones for results to match ---
 SPO2_MIN_VALID = 55
@@ -102,3 +102,22 @@ class Layout:
     seq: str = "seq"
     chunk_rows: int = 7200
     fanout: int = 4096
+    max_seq: int | None = None  # largest row number, when it has been measured
+
+    def over(self, key: str | None = None, seq: str | None = None) -> Layout:
+        """The same cuts for another key or another row number of the record."""
+        return replace(self, key=key or self.key, seq=seq or self.seq)
+
+    def sized(self, df) -> Layout:
+        """With the longest record measured (one aggregate), so that scans use
+        only the levels it needs."""
+        from pyspark.sql import functions as F
+
+        return replace(self, max_seq=df.agg(F.max(self.seq)).first()[0] or 0)
+
+    @property
+    def levels(self) -> list[int]:
+        """Cell sizes of a scan: none when every record fits in one chunk."""
+        if self.max_seq is None or self.max_seq >= self.chunk_rows * self.fanout:
+            return [self.chunk_rows, self.fanout]
+        return [] if self.max_seq < self.chunk_rows else [self.chunk_rows]

@@ -86,7 +86,7 @@ def dedup_overlaps(
     events that one covers, and is split again, until every cluster is short.
     """
     key = layout.key
-    by_start = Layout(key=key, seq=start, chunk_rows=layout.chunk_rows, fanout=layout.fanout)
+    by_start = layout.over(key, start)
 
     def clustered(df: DataFrame) -> DataFrame:
         seen = running(df, by_start, {"_reach": ("max", F.col(end))}, inclusive=False)

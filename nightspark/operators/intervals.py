@@ -25,14 +25,20 @@ def _cell(seconds: Column, width: float | Column) -> Column:
     return F.floor(seconds / (width if isinstance(width, Column) else F.lit(float(width)))).cast("long")
 
 
-def spread_over_chunks(spans: DataFrame, layout: Layout, start: str, end: str, rows: DataFrame) -> DataFrame:
-    """Pair each span of row numbers with the rows inside it (both ends in)."""
-    lo = F.floor(F.col(start) / layout.chunk_rows)
-    hi = F.floor(F.col(end) / layout.chunk_rows)
-    s = spans.withColumn("_chunk", F.explode(F.sequence(lo, hi)))
-    r = rows.withColumn("_chunk", F.floor(F.col(layout.seq) / layout.chunk_rows))
+def spread_over_chunks(
+    spans: DataFrame, layout: Layout, start: str, end: str, rows: DataFrame, cell_rows: int = 32,
+) -> DataFrame:
+    """Pair each span of row numbers with the rows inside it (both ends in).
+
+    A span is copied to the ``cell_rows``-row cells it touches, so it meets
+    its own rows and at most two cells' worth of others.
+    """
+    lo = F.floor(F.col(start) / cell_rows)
+    hi = F.floor(F.col(end) / cell_rows)
+    s = spans.withColumn("_cell", F.explode(F.sequence(lo, hi)))
+    r = rows.withColumn("_cell", F.floor(F.col(layout.seq) / cell_rows))
     inside = (F.col(layout.seq) >= F.col(start)) & (F.col(layout.seq) <= F.col(end))
-    return s.join(r, [layout.key, "_chunk"]).filter(inside).drop("_chunk")
+    return s.join(r, [layout.key, "_cell"]).filter(inside).drop("_cell")
 
 
 def interval_join(
@@ -116,7 +122,7 @@ def asof_join(
         F.to_json(F.struct(*columns)).alias("_tie"),
     )
     merged = order_rows(lhs.unionByName(rhs), [key], ["_t", "_side", "_tie"], out="_pos")
-    layout = Layout(key=key, seq="_pos", chunk_rows=chunk_rows)
+    layout = Layout(key=key, seq="_pos", chunk_rows=chunk_rows).sized(merged)
     found = running(merged, layout, {"_match": ("last", F.col("_pay"))}, reverse=forward)
     return found.filter(F.col("_row").isNotNull()).select(
         "_row.*", *[F.col(f"_match.{prefix}{c}").alias(f"{prefix}{c}") for c in columns]

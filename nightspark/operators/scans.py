@@ -122,12 +122,12 @@ def running(
 ) -> DataFrame:
     """Running ``sum`` / ``last`` non-null / ``max`` / ``min`` along a record.
 
-    Three levels: rows inside a chunk, chunk totals inside a block, block
-    totals inside the record.  ``reverse`` scans from the end (so ``last``
+    Up to three levels, as many as the longest record needs: rows inside a
+    chunk, chunk totals inside a block, block totals inside the record.  ``reverse`` scans from the end (so ``last``
     becomes "next"), ``inclusive=False`` leaves out the current row.
     """
     return _scan_level(
-        df, layout.key, layout.seq, [layout.chunk_rows, layout.fanout], specs, reverse, inclusive
+        df, layout.key, layout.seq, layout.levels, specs, reverse, inclusive
     )
 
 
@@ -161,50 +161,56 @@ def run_bounds(df: DataFrame, layout: Layout, value: Column, rows: DataFrame | N
 
 
 def next_at_least(
-    queries: DataFrame, rows: DataFrame, layout: Layout, after: str, threshold: str, value: str, out: str
+    queries: DataFrame, rows: DataFrame, layout: Layout, after: str, threshold: str, value: str, out: str,
+    fan: int = 32,
 ) -> DataFrame:
     """Add ``out`` = first seq > ``after`` whose ``value`` >= ``threshold``.
 
-    A pyramid of maxima (row, chunk, block) keeps each join on a bounded
-    piece: look in the own chunk, then among later chunks of the own block,
-    then among later blocks, and come back down through the winning block and
-    chunk.  Each step only carries the queries still unresolved.
+    A pyramid of maxima with ``fan`` children per cell: look among the later
+    rows of the own cell; the unresolved look among the later cells of their
+    parent, and so on up; a hit comes back down one level at a time.  Every
+    step joins on (record, cell), where a query meets at most ``fan`` entries.
     """
     key, seq = layout.key, layout.seq
-    rows = rows.select(
-        F.col(key), F.col(seq).alias("_s"), F.col(value).alias("_v"),
-        _div(F.col(seq), layout.chunk_rows).alias("_chunk"),
-    ).filter(F.col("_v").isNotNull())
-    chunks = rows.groupBy(key, "_chunk").agg(F.max("_v").alias("_v")).withColumn(
-        "_block", _div(F.col("_chunk"), layout.fanout)
-    )
-    blocks = chunks.groupBy(key, "_block").agg(F.max("_v").alias("_v"))
-
-    def first(q: DataFrame, table: DataFrame, on: list[str], pos: str, low: Column, name: str) -> DataFrame:
-        t = table.select(*on, F.col(pos).alias("_p"), F.col("_v").alias("_tv"))
-        hit = F.when((F.col("_p") > low) & (F.col("_tv") >= F.col("_thr")), F.col("_p"))
-        return stable(q.join(t, on, "left").groupBy(*q.columns).agg(F.min(hit).alias(name)))
-
-    none = F.lit(-1).cast("long")
-    asked = queries.select(key, F.col(after).alias("_q"), F.col(threshold).alias("_thr")).distinct()
-    asked = asked.withColumns({
-        "_chunk": _div(F.col("_q"), layout.chunk_rows),
-        "_block": _div(F.col("_q"), layout.chunk_rows * layout.fanout),
-    })
-    near = first(asked, rows, [key, "_chunk"], "_s", F.col("_q"), "_hit")
-    found = near.filter("_hit is not null").select(key, "_q", "_thr", "_hit")
-    rest = near.filter("_hit is null").drop("_hit")
-    if not rest.isEmpty():
-        mid = first(rest, chunks, [key, "_block"], "_chunk", F.col("_chunk"), "_hc")
-        located = mid.filter("_hc is not null").select(key, "_q", "_thr", F.col("_hc").alias("_chunk"))
-        rest = mid.filter("_hc is null").drop("_hc")
-        if not rest.isEmpty():
-            far = first(rest, blocks, [key], "_block", F.col("_block"), "_hb").filter("_hb is not null")
-            far = far.select(key, "_q", "_thr", F.col("_hb").alias("_block"))
-            down = first(far, chunks, [key, "_block"], "_chunk", none, "_hc")
-            located = located.unionByName(down.select(key, "_q", "_thr", F.col("_hc").alias("_chunk")))
-        if not located.isEmpty():
-            down = first(located, rows, [key, "_chunk"], "_s", none, "_hit")
-            found = found.unionByName(down.select(key, "_q", "_thr", "_hit"))
-    found = found.select(key, F.col("_q").alias(after), F.col("_thr").alias(threshold), F.col("_hit").alias(out))
+    base = rows.select(F.col(key), F.col(seq).alias("_p"), F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    top = layout.max_seq if layout.max_seq is not None else rows.agg(F.max(seq)).first()[0] or 0
+    tables = [base]
+
+    def table(level: int) -> DataFrame:
+        while len(tables) <= level:
+            below = tables[-1].withColumn("_p", _div(F.col("_p"), fan))
+            tables.append(stable(below.groupBy(key, "_p").agg(F.max("_v").alias("_v"))))
+        return tables[level].withColumn("_cell", _div(F.col("_p"), fan))
+
+    def first(q: DataFrame, level: int) -> DataFrame:
+        """``q`` (_id, _thr, _cell, _low) with ``_hit`` in the level's table."""
+        hit = F.when((F.col("_p") > F.col("_low")) & (F.col("_v") >= F.col("_thr")), F.col("_p"))
+        joined = q.join(table(level), [key, "_cell"], "left")
+        return stable(joined.groupBy(*q.columns).agg(F.min(hit).alias("_hit")))
+
+    q_cols = [key, "_id", "_thr"]
+    asked = queries.select(key, F.col(after).alias("_id"), F.col(threshold).alias("_thr")).distinct()
+    found = None
+    waiting: list[tuple[int, DataFrame]] = []
+    level, low = 0, asked.withColumn("_low", F.col("_id"))
+    while True:
+        seen = first(low.withColumn("_cell", _div(F.col("_low"), fan)), level)
+        hits = seen.filter("_hit is not null").select(*q_cols, "_hit")
+        if level == 0:
+            found = hits
+        else:
+            waiting.append((level, hits))
+        rest = seen.filter("_hit is null").select(*q_cols, F.col("_cell").alias("_low"))
+        level += 1
+        if fan**level > top or rest.isEmpty():
+            break
+        low = rest
+    for start, hits in waiting:
+        if hits.isEmpty():
+            continue
+        for down in range(start - 1, -1, -1):
+            q = hits.select(*q_cols, F.col("_hit").alias("_cell"), F.lit(-1).cast("long").alias("_low"))
+            hits = first(q, down).select(*q_cols, "_hit")
+        found = found.unionByName(hits)
+    found = found.select(key, F.col("_id").alias(after), F.col("_thr").alias(threshold), F.col("_hit").alias(out))
     return queries.join(found, [key, after, threshold], "left")

@@ -53,7 +53,7 @@ def run_length_stats(runs: DataFrame, short_rows: int = 30) -> DataFrame:
 def sleep_cycles(runs: DataFrame, layout: Layout, min_nrem: int) -> DataFrame:
     """REM entries after at least ``min_nrem`` rows of NREM since the last
     REM or wake run, and the median minutes between entries."""
-    by_start = Layout(key=KEY, seq="run_start", chunk_rows=layout.chunk_rows, fanout=layout.fanout)
+    by_start = layout.over(KEY, "run_start")
     nrem = F.col("stage").isin(2, 3)
     df = running(runs.withColumn("_nrem", F.when(nrem, F.col("run_rows")).otherwise(0)), by_start,
                  {"_cum": ("sum", F.col("_nrem"))})
@@ -175,7 +175,7 @@ def negative_samples(
 
 def event_history(events: DataFrame, layout: Layout) -> DataFrame:
     """Running counts along the events of a record (current event included)."""
-    by_start = Layout(key=KEY, seq="start_idx", chunk_rows=layout.chunk_rows, fanout=layout.fanout)
+    by_start = layout.over(KEY, "start_idx")
     sev = F.coalesce(F.col("is_severe"), F.lit(False))
     return running(events, by_start, {
         "n_so_far": ("sum", F.lit(1)), "sev_so_far": ("sum", sev.cast("int")),
@@ -231,7 +231,7 @@ def event_rolling(events: DataFrame, layout: Layout, in_path: Column, window: in
     """Features of the previous ``window`` events of the record, the current
     one left out: share in path states, mean severity, severe so far, position."""
     ev = order_rows(events.withColumn("_path", in_path.cast("double")), [KEY], ["start_idx"], out="ev_seq")
-    by_event = Layout(key=KEY, seq="ev_seq", chunk_rows=layout.chunk_rows, fanout=layout.fanout)
+    by_event = layout.over(KEY, "ev_seq")
 
     def exprs(w):
         frame = w.rowsBetween(-window, -1)
@@ -297,7 +297,7 @@ def earliest_event_near(windows: DataFrame, events: DataFrame, ids: Sequence[str
 def transition_pairs(states: DataFrame, layout: Layout) -> DataFrame:
     """Each valid window with the label of the next valid one of its scale."""
     valid = states.filter(F.col("state_label").isNotNull()).withColumn("_series", F.concat_ws("|", KEY, "scale"))
-    by_window = Layout(key="_series", seq="window_idx", chunk_rows=layout.chunk_rows, fanout=layout.fanout)
+    by_window = layout.over("_series", "window_idx")
     ahead = running(valid, by_window, {"state_next": ("last", F.col("state_label"))}, reverse=True, inclusive=False)
     return ahead.filter(F.col("state_next").isNotNull()).drop("_series")
 
@@ -305,7 +305,7 @@ def transition_pairs(states: DataFrame, layout: Layout) -> DataFrame:
 def neighbours(events: DataFrame, layout: Layout, columns: Sequence[str]) -> DataFrame:
     """Add ``prev_{c}`` / ``next_{c}``: the value at the previous and the next
     event of the record (null values are kept as they are)."""
-    by_start = Layout(key=KEY, seq="start_idx", chunk_rows=layout.chunk_rows, fanout=layout.fanout)
+    by_start = layout.over(KEY, "start_idx")
     held = F.struct(*columns)  # a struct is never null, so "last" is exactly one step
     out = running(events, by_start, {"_prev": ("last", held)}, inclusive=False)
     out = running(out, by_start, {"_next": ("last", held)}, reverse=True, inclusive=False)

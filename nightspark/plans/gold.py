@@ -53,7 +53,7 @@ def state_distribution(states: DataFrame, key: str = KEY, label_lists=None) -> D
 def label_changes(states: DataFrame, layout: Layout) -> DataFrame:
     """Per record and scale: changes between consecutive valid windows."""
     valid = states.filter(F.col("cluster_int") >= 0).withColumn("_series", F.concat_ws("|", KEY, "scale"))
-    by_window = Layout(key="_series", seq="window_idx", chunk_rows=layout.chunk_rows, fanout=layout.fanout)
+    by_window = layout.over("_series", "window_idx")
     seen = running(valid, by_window, {"_prev": ("last", F.col("state_label"))}, inclusive=False)
     return seen.groupBy(KEY, "scale").agg(F.count_if(F.col("_prev") != F.col("state_label")).alias("n_transitions"))
 
@@ -166,7 +166,7 @@ def gold_patients(
     return out.withColumn("model_version", F.lit(model_version))
 
 
-def event_states_multiscale(events: DataFrame, states: DataFrame) -> DataFrame:
+def event_states_multiscale(events: DataFrame, states: DataFrame, window_s: dict[str, int] | None = None) -> DataFrame:
     """Each event with the state of the window it starts in, per scale.
 
     Windows of one scale are disjoint, so the containing window is found by an
@@ -174,12 +174,14 @@ def event_states_multiscale(events: DataFrame, states: DataFrame) -> DataFrame:
     """
     from nightspark.operators.intervals import epoch, interval_join
 
+    sizes = window_s or Params().window_rows
+    width = F.coalesce(*[F.when(F.col("scale") == s, F.lit(float(r))) for s, r in sizes.items()])
     points = events.select(KEY, "ts_start", epoch(F.col("ts_start")).alias("_ts"), F.explode(
         F.array(*[F.lit(s) for s in C.STATE_K])).alias("scale"))
     spans = states.select(
         KEY, "scale", "state_label", "window_idx", "dist_to_centroid",
         epoch(F.col("t_start")).alias("_w0"), epoch(F.col("t_end")).alias("_w1"))
-    hit = interval_join(points, spans, [KEY, "scale"], F.col("_ts"), F.col("_w0"), F.col("_w1"), 1800.0)
+    hit = interval_join(points, spans, [KEY, "scale"], F.col("_ts"), F.col("_w0"), F.col("_w1"), width)
     best = hit.groupBy(KEY, "ts_start", "scale").agg(F.max_by(
         F.struct("state_label", "window_idx", "dist_to_centroid"), F.struct("_w0", "window_idx")).alias("_b"))
     wide = best.groupBy(KEY, "ts_start").agg(*[

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightspark import config as C
+from nightspark.config import Layout
 from nightspark.operators import cohorts, detect, indices, labels, qc, windows
 from nightspark.operators.ordering import shared_dir
 from nightspark.plans import fixtures as X
@@ -34,7 +35,11 @@ class Layers:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
         self.root = f"{shared_dir(spark)}/layers-{uuid.uuid4().hex}"
-        self.p, self.layout = A.PARAMS, A.LAYOUT
+        self.p = A.PARAMS
+
+    @cached_property
+    def layout(self) -> Layout:
+        return A.LAYOUT.sized(self.signal)
 
     def table(self, name: str) -> DataFrame:
         return A.table(self.spark, self.sf_dir, name)
@@ -157,4 +162,4 @@ class Layers:
         from nightspark.plans.gold import event_states_multiscale
 
         return self._layer("event_states", lambda: event_states_multiscale(
-            self.events.join(self.flags, "night_record_id"), self.states))
+            self.events.join(self.flags, "night_record_id"), self.states, self.p.window_rows))

@@ -37,7 +37,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def split_blocks(lines: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """(file, block, line, value) without blank lines; a block ends at a run of them."""
-    by_line = Layout(key="file", seq="line", chunk_rows=layout.chunk_rows, fanout=layout.fanout)
+    by_line = layout.over("file", "line")
     text = lines.withColumn("_blank", F.trim("value") == "")
     marked = framed(text, by_line, before=1, after=0, exprs=lambda w: {
         "_starts": F.when(~F.col("_blank") & F.coalesce(F.lag("_blank").over(w), F.lit(True)), 1).otherwise(0)})

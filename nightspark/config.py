@@ -49,7 +49,6 @@ VALIDATED_INDICES = (
     "odi_3", "odi_4", "ahi_3", "ahi_4", "t90_frac", "hypoxic_burden_3",
     "hypoxic_burden_4", "tst_s", "sleep_efficiency", "waso_s",
 )
-ALGORITHM_VERSION = "pac_v2_events_1.0.0"
 # --- end of fixed values ---
 
 

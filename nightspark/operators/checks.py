@@ -246,7 +246,7 @@ def agreement_by_index(nights: DataFrame, indices: Sequence[str] = C.VALIDATED_I
     from nightspark.operators.stats import spearman
 
     parts = F.explode(F.array(*[F.struct(
-        F.lit(i).alias("index"), F.col(f"{i}_pac_v2").alias("ours"), F.col(f"{i}_device").alias("device"),
+        F.lit(i).alias("index"), F.col(f"{i}_ours").alias("ours"), F.col(f"{i}_device").alias("device"),
         F.col(f"{i}_diff_abs").alias("diff_abs"), F.col(f"{i}_diff_rel").alias("diff_rel"), F.col(f"{i}_diff_flag").alias("flag"),
     ) for i in indices])).alias("_i")
     long = stable(nights.select(KEY, parts).select(KEY, "_i.*"))
@@ -264,7 +264,7 @@ def agreement_by_index(nights: DataFrame, indices: Sequence[str] = C.VALIDATED_I
     j = counts.join(q, "index", "left").join(line, "index", "left").join(rho, "index", "left")
     return j.select(
         "index", "n_nights", "n_comparable", "n_diff_flag", (100.0 * F.col("n_diff_flag") / F.col("n_nights")).alias("pct_diff_flag"),
-        F.col("ours_median").alias("pac_v2_median"), "device_median", "diff_abs_median", "diff_rel_median", "diff_rel_p5", "diff_rel_p95",
+        F.col("ours_median").alias("ours_median"), "device_median", "diff_abs_median", "diff_rel_median", "diff_rel_p5", "diff_rel_p95",
         F.when(few, F.col("pearson_r")).alias("pearson_r"), F.when(few, F.col("rho")).alias("spearman_r"),
         F.when(few, F.col("slope_ols")).alias("slope_ols"), F.when(few, F.col("intercept_ols")).alias("intercept_ols"))
 

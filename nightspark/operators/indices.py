@@ -173,7 +173,7 @@ def device_quintet(ours: Column, device: Column, name: str, flag_at: float = C.D
         (ours - device) / device)
     finite = rel < float("inf")
     return {
-        f"{name}_pac_v2": ours.cast("double"), f"{name}_device": device.cast("double"),
+        f"{name}_ours": ours.cast("double"), f"{name}_device": device.cast("double"),
         f"{name}_diff_abs": diff, f"{name}_diff_rel": F.when(diff.isNotNull(), rel),
         f"{name}_diff_flag": F.coalesce(diff.isNotNull() & finite & (F.abs(rel) > flag_at), F.lit(False)),
     }

@@ -205,12 +205,12 @@ def _(L):
 
 
 def _agree(i: str) -> str:
-    ok = f"{i}_pac_v2 IS NOT NULL AND {i}_device IS NOT NULL AND abs({i}_diff_rel) < CAST('inf' AS DOUBLE)"
-    a, b = f"{i}_pac_v2", f"{i}_device"
+    ok = f"{i}_ours IS NOT NULL AND {i}_device IS NOT NULL AND abs({i}_diff_rel) < CAST('inf' AS DOUBLE)"
+    a, b = f"{i}_ours", f"{i}_device"
     q = lambda c, p: f"r6(quantile_cont({c}, {p}) FILTER (WHERE {ok}))"
     n = f"count(*) FILTER (WHERE {ok}) >= 3"
     return f"""SELECT '{i}' AS "index", count(*) AS n_nights, count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n_comparable, count(*) FILTER (WHERE {i}_diff_flag) AS n_diff_flag,
-      r6(100.0 * count(*) FILTER (WHERE {i}_diff_flag) / count(*)) AS pct_diff_flag, {q(a, .5)} AS pac_v2_median, {q(b, .5)} AS device_median, {q(f'{i}_diff_abs', .5)} AS diff_abs_median,
+      r6(100.0 * count(*) FILTER (WHERE {i}_diff_flag) / count(*)) AS pct_diff_flag, {q(a, .5)} AS ours_median, {q(b, .5)} AS device_median, {q(f'{i}_diff_abs', .5)} AS diff_abs_median,
       {q(f'{i}_diff_rel', .5)} AS diff_rel_median, {q(f'{i}_diff_rel', .05)} AS diff_rel_p5, {q(f'{i}_diff_rel', .95)} AS diff_rel_p95,
       CASE WHEN {n} AND stddev_pop({a}) FILTER (WHERE {ok}) > 0 AND stddev_pop({b}) FILTER (WHERE {ok}) > 0 THEN r6(corr({a}, {b}) FILTER (WHERE {ok})) END AS pearson_r,
       CASE WHEN {n} AND stddev_pop(ra) FILTER (WHERE {ok}) > 0 AND stddev_pop(rb) FILTER (WHERE {ok}) > 0 THEN r6(corr(ra, rb) FILTER (WHERE {ok})) END AS spearman_r,

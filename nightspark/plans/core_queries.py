@@ -275,7 +275,7 @@ _INDEX_D = (
     "duration_s", *_SLEEP, *_LEVEL, *_UNDER, "hypoxic_burden_90", "hypoxic_burden_88", "mean_mov", "movement_index_per_h",
     "mean_delta_hr_per_edo", "p90_delta_hr_per_edo", "mean_drop_pct", "mean_duration_s_per_edo", "max_duration_s_per_edo",
     "ird_night", "mean_ird_event", "p90_ird_event", *_RATES,
-    *[f"{i}_{s}" for i in C.VALIDATED_INDICES for s in ("pac_v2", "device", "diff_abs", "diff_rel")],
+    *[f"{i}_{s}" for i in C.VALIDATED_INDICES for s in ("ours", "device", "diff_abs", "diff_rel")],
 )
 _INDEX_N = (
     "n_stage_shifts", "n_brady_episodes", "n_tachy_episodes", "n_edos_total", *[f"n_edos_{t}pct" for t in C.DROP_THRESHOLDS_PCT],
@@ -290,10 +290,10 @@ def _(L):
 
 @query("device_comparison", f"SELECT night_record_id, {d6(*[f'{i}_{s}' for i in C.VALIDATED_INDICES for s in ('diff_abs', 'diff_rel')])}, {', '.join(f'{i}_diff_flag' for i in C.VALIDATED_INDICES)} FROM nidx")
 def _(L):
-    out = L.indices.select(KEY, *[F.col(f"{i}_{s}") for i in C.VALIDATED_INDICES for s in ("pac_v2", "device")])
+    out = L.indices.select(KEY, *[F.col(f"{i}_{s}") for i in C.VALIDATED_INDICES for s in ("ours", "device")])
     cols = [KEY]
     for i in C.VALIDATED_INDICES:
-        q = indices.device_quintet(F.col(f"{i}_pac_v2"), F.col(f"{i}_device"), i)
+        q = indices.device_quintet(F.col(f"{i}_ours"), F.col(f"{i}_device"), i)
         cols += [q[f"{i}_{s}"].alias(f"{i}_{s}") for s in ("diff_abs", "diff_rel", "diff_flag")]
     return out.select(*cols)
 

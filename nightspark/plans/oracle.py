@@ -321,7 +321,7 @@ _src = {"hypoxic_burden_3": "hypoxic_burden_90", "hypoxic_burden_4": "hypoxic_bu
 cte("""nidx1 AS (
   SELECT *, CASE WHEN user_id % 11 = 0 THEN NULL WHEN user_id % 13 = 0 THEN 0.0 ELSE 1 + (user_id % 7 - 3) / 10.0 END AS fac FROM nidx0)""")
 cte("nidx AS (SELECT * EXCLUDE (fac), " + ", ".join(
-    f"CAST({_src.get(i, i)} AS DOUBLE) AS {i}_pac_v2, {_src.get(i, i)} * fac AS {i}_device, abs({_src.get(i, i)} - {_src.get(i, i)} * fac) AS {i}_diff_abs, "
+    f"CAST({_src.get(i, i)} AS DOUBLE) AS {i}_ours, {_src.get(i, i)} * fac AS {i}_device, abs({_src.get(i, i)} - {_src.get(i, i)} * fac) AS {i}_diff_abs, "
     f"CASE WHEN fac IS NULL THEN NULL WHEN abs({_src.get(i, i)} * fac) < 1e-9 THEN CASE WHEN abs({_src.get(i, i)} - {_src.get(i, i)} * fac) > 0 THEN CAST('inf' AS DOUBLE) ELSE 0.0 END "
     f"ELSE ({_src.get(i, i)} - {_src.get(i, i)} * fac) / ({_src.get(i, i)} * fac) END AS {i}_diff_rel, "
     f"CASE WHEN fac IS NULL OR abs({_src.get(i, i)} * fac) < 1e-9 THEN false ELSE abs(({_src.get(i, i)} - {_src.get(i, i)} * fac) / ({_src.get(i, i)} * fac)) > {C.DIFF_REL_FLAG} END AS {i}_diff_flag"

@@ -211,7 +211,8 @@ def blocks_of(L):
     return L.__dict__["_blocks"]
 
 
-_REC = F.regexp_extract("file", r"rec=(NR_\d+)", 1)
+def record_of_file():
+    return F.regexp_extract("file", r"rec=(NR_\d+)", 1)
 
 
 @query("ingest_recordings", "SELECT user_id, seq, CAST(epoch(timestamp) AS BIGINT) AS timestamp, r6(spo2) AS spo2, r6(hr) AS hr, r6(mov) AS mov, CAST(sleep_stage AS DOUBLE) AS sleep_stage FROM sig WHERE user_id % 10 <> 9")
@@ -223,18 +224,18 @@ def _(L):
 @query("read_device_sidecar", "SELECT night_record_id, r6(n_samples) AS odi_3, CASE WHEN user_id % 9 <> 0 THEN 100.5 END AS tst_s FROM nqc")
 def _(L):
     raw = R.block_rows(blocks_of(L), 1, ["odi_3", "tst_s"]).filter("row = 0")
-    return R.read_device_sidecar(raw, ["odi_3", "tst_s"]).select(_REC.alias(KEY), "odi_3", "tst_s")
+    return R.read_device_sidecar(raw, ["odi_3", "tst_s"]).select(record_of_file().alias(KEY), "odi_3", "tst_s")
 
 
 @query("scan_headers", "SELECT CAST(user_id AS VARCHAR) AS user_id, night_record_id FROM nqc")
 def _(L):
-    return R.scan_headers(blocks_of(L)).select("user_id", _REC.alias(KEY))
+    return R.scan_headers(blocks_of(L)).select("user_id", record_of_file().alias(KEY))
 
 
 @query("ingest_status", """SELECT night_record_id, CASE WHEN user_id % 10 = 9 THEN 'FAIL' WHEN user_id % 17 = 0 THEN 'SKIP_COHORT' ELSE 'OK' END AS status, CASE WHEN user_id % 10 = 9 THEN 'expected 3 blocks, found 2' END AS error FROM nqc""")
 def _(L):
     cohort = L.nights_of.filter(F.col("user_id") % 17 != 0).select(F.col("user_id").cast("string").alias("user_id"))
-    return R.ingest_status(blocks_of(L), cohort).select(_REC.alias(KEY), "status", "error")
+    return R.ingest_status(blocks_of(L), cohort).select(record_of_file().alias(KEY), "status", "error")
 
 
 @query("identity_csv", "SELECT CAST(c_custkey AS VARCHAR) AS patient_id, c_name AS nombre, '' AS apellido, '' AS fecha_nacimiento FROM customer")

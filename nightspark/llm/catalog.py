@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nightspark.llm import decontaminate
+from nightspark.llm import decontaminate, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op6_packing": packing.op6_packing,
 }
 ORACLE: dict[str, str] = {
     "op4_decontamination": decontaminate.OP4_SQL,

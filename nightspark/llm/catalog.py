@@ -2,15 +2,37 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nightspark.llm import decontaminate, packing
+from nightspark.llm import decontaminate, near, packing
+
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def visible(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it (on a cluster: also by --py-files)."""
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+
+
+def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        visible(spark)
+        return fn(spark, sf_dir)
+
+    return run
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_decontamination": decontaminate.op4_decontamination,
-    "op6_packing": packing.op6_packing,
+    name: _query(fn) for name, fn in {
+        "op4_decontamination": decontaminate.op4_decontamination,
+        "op5_near_duplicates": near.op5_near_duplicates,
+        "op6_packing": packing.op6_packing,
+    }.items()
 }
 ORACLE: dict[str, str] = {
     "op4_decontamination": decontaminate.OP4_SQL,

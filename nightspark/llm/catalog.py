@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nightspark.llm import decontaminate, near, packing, quality
+from nightspark.llm import decontaminate, lines, near, packing, quality
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -32,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "op4_decontamination": decontaminate.op4_decontamination,
         "op5_near_duplicates": near.op5_near_duplicates,
         "op6_packing": packing.op6_packing,
+        "op7_line_dedup": lines.op7_line_dedup,
         "op9_quality_rules": quality.op9_quality_rules,
     }.items()
 }

@@ -88,3 +88,40 @@ def some_bytes(texts: list[bytes | None], limit: int = 4 << 20) -> Iterator[tupl
         size += len(t or b"")
     if start < len(texts):
         yield start, len(texts)
+
+
+def line_minima(lines: list[bytes], size: int, factors: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+    """Least hashes (one row a factor, one column a line) of the character shingles of lines; no line is empty.
+
+    Lines go through in blocks of about ``block`` bytes that stay in the cache.
+    """
+    out, some, held = [], [], 0
+    for line in lines:
+        if some and held + len(line) > block:
+            out.append(_block_minima(some, size, factors))
+            some, held = [], 0
+        some.append(line)
+        held += len(line)
+    if some:
+        out.append(_block_minima(some, size, factors))
+    return np.concatenate(out, axis=1) if out else np.empty((len(factors), 0), np.uint64)
+
+
+def _block_minima(lines: list[bytes], size: int, factors: np.ndarray) -> np.ndarray:
+    joined = (b"\n".join(lines) + b"\n" + b" " * size).decode()
+    chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    ends = np.flatnonzero(chars == 10)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    length = ends - starts
+    with np.errstate(over="ignore"):
+        value = mixed(chars.astype(np.uint64) + np.uint64(1))
+        total = np.full(len(chars) - size + 1, size, np.uint64)
+        for k, m in enumerate(multipliers(size, 3)):
+            total += value[k : len(chars) - size + 1 + k] * m
+        shingles = mixed(total)
+        count = np.maximum(length - size + 1, 1)
+        begin = np.cumsum(count) - count
+        flat = shingles[np.repeat(starts - begin, count) + np.arange(count.sum())]
+        for i in np.flatnonzero(length < size):
+            flat[begin[i]] = char_shingles(lines[i].decode(), size)[0]
+        return np.stack([np.minimum.reduceat(flat * f, begin) for f in factors])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nightspark.llm import decontaminate, lines, near, packing, quality
+from nightspark.llm import decontaminate, licenses, lines, near, packing, quality, urls
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -29,10 +29,12 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: _query(fn) for name, fn in {
+        "op3_url_filter": urls.op3_url_filter,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op5_near_duplicates": near.op5_near_duplicates,
         "op6_packing": packing.op6_packing,
         "op7_line_dedup": lines.op7_line_dedup,
+        "op8_license_scan": licenses.op8_license_scan,
         "op9_quality_rules": quality.op9_quality_rules,
     }.items()
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nightspark.llm import decontaminate, licenses, lines, near, packing, quality, urls
+from nightspark.llm import decontaminate, licenses, lines, near, packing, preferences, quality, separators, urls
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -29,6 +29,7 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: _query(fn) for name, fn in {
+        "op1_token_counts": separators.op1_token_counts,
         "op3_url_filter": urls.op3_url_filter,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op5_near_duplicates": near.op5_near_duplicates,
@@ -36,9 +37,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "op7_line_dedup": lines.op7_line_dedup,
         "op8_license_scan": licenses.op8_license_scan,
         "op9_quality_rules": quality.op9_quality_rules,
+        "op10_preference_formatting": preferences.op10_preference_formatting,
     }.items()
 }
 ORACLE: dict[str, str] = {
     "op4_decontamination": decontaminate.OP4_SQL,
     "op9_quality_rules": quality.OP9_SQL,
+    "op10_preference_formatting": preferences.OP10_SQL,
 }

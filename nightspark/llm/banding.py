@@ -1,9 +1,6 @@
-"""Candidate search shared by the near-duplicate operators.
+"""Candidate search and linking shared by the near-duplicate operators.
 
-Rows (key, id) say that an item fell into a bucket.  Items of one bucket are
-compared with a few centres first; a pair that the links found so far already
-join need not be compared, all others are, centre by centre.  Buckets have no
-size limit and no link is lost to one.
+Rows (key, id) say that an item fell into a bucket.
 """
 
 from __future__ import annotations
@@ -17,7 +14,6 @@ from pyspark.sql import functions as F
 
 from nightspark.llm.common import cut
 from nightspark.llm.components import connected_components
-from nightspark.operators.ordering import order_rows
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,41 +61,97 @@ def shared_buckets(bands: DataFrame) -> DataFrame:
         spread.join(wide, "key", "left_semi"))
 
 
-def linked(bands: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str) -> tuple[DataFrame, DataFrame]:
-    """(links (a, b), components (node, component)) of all pairs that share a bucket and that ``verify`` confirms.
+def linked(
+    bands: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[list[bytes]], list[np.ndarray]],
+    percent: int, name: str, likely: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Components (node, component) under links of ``percent`` Jaccard similarity between ids that share a bucket.
 
-    ``verify`` takes distinct pairs (a, b), a < b, and returns those that hold.
-    Round by round, 1, 4, 16, ... members of each bucket become centres and
-    meet the later members that are not yet in their component, until every
-    bucket is one component or has no member left to serve.
+    ``texts_of`` gives (id, body) for ids, ``sets_of`` the sorted distinct
+    hashes of bodies; ``likely`` may drop pairs (a, b) that cannot be links.
+
+    First all members of a bucket are compared with its smallest id, the
+    centre.  Where a bucket then still holds several components, each member is
+    written as its difference to the centre.  Two members in different
+    components can be linked only if their differences overlap by more than a
+    known number of elements, so they share one early in a fixed order
+    (elements the centre lacks first): those meet by a join on (centre,
+    element).  No bucket is too large, no link is lost to one, and the pairs of
+    a bucket are never all listed.
     """
+    cap = (100 - percent) / (100 + percent)
+
+    def sets(ids: list, bodies: list[bytes]) -> dict:
+        own = dict(zip(ids, bodies, strict=True))
+        return dict(zip(own, sets_of(list(own.values())), strict=True))
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                a, b = (list(zip(batch.column(x).to_pylist(), batch.column(y).to_pylist(), strict=True)) for x, y in (("a", "ta"), ("b", "tb")))
+                held = sets([*a, *b], [x[1] for x in (*a, *b)])
+                keep = []
+                for x, y in zip(a, b, strict=True):
+                    both = len(np.intersect1d(held[x], held[y], assume_unique=True))
+                    keep.append(100 * both >= percent * (len(held[x]) + len(held[y]) - both))
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                a, b = (list(zip(batch.column(x).to_pylist(), batch.column(y).to_pylist(), strict=True)) for x, y in (("a", "ta"), ("b", "tb")))
+                held = sets([*a, *b], [x[1] for x in (*a, *b)])
+                inside = batch.column("inside").to_pylist()
+                rows, elements, sizes, places, small, own = [], [], [], [], [], []
+                for i, (x, y) in enumerate(zip(a, b, strict=True)):
+                    c, m = held[x], held[y]
+                    d = np.concatenate((np.setdiff1d(m, c, assume_unique=True), np.setdiff1d(c, m, assume_unique=True)))
+                    # a link to a member outside the centre's component needs more than half of an inside one's difference
+                    most = len(d) * (1 + cap) / 2 if inside[i] else len(d)
+                    room = len(m) * (100 - percent) // percent
+                    n = int(min(len(d), room + 1, np.ceil(most)))
+                    rows += [i] * n
+                    elements.append(d[:n])
+                    sizes += [len(d)] * n
+                    places.append(np.arange(n))
+                    small.append(np.arange(n) <= room / 2)
+                    own += [len(m)] * n
+                if rows:
+                    at = pa.array(rows, pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("a").take(at), batch.column("b").take(at), batch.column("group").take(at),
+                         pa.array(np.concatenate(elements).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(own, pa.int32()),
+                         pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(small))],
+                        ["a", "b", "group", "e", "nd", "n", "place", "small"])
+
     shared = cut(shared_buckets(bands), f"{name}-shared")
-    first = shared.groupBy("key").agg(F.min("id").alias("a"))
-    pairs = cut(shared.join(first, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct(), f"{name}-pairs")
-    links = cut(verify(pairs), f"{name}-links")
+    texts = cut(texts_of(shared.select("id").distinct()), f"{name}-texts")
+
+    def with_texts(pairs: DataFrame) -> DataFrame:
+        return pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return cut(with_texts(likely(pairs) if likely else pairs).mapInArrow(confirm, "a long, b long"), f"{name}-links")
+
+    centre = shared.groupBy("key").agg(F.min("id").alias("a"))
+    starred = cut(shared.join(centre, "key").filter("id <> a").select("key", "a", F.col("id").alias("b")), f"{name}-stars")
+    links = verified(starred.select("a", "b").distinct())
     groups = cut(connected_components(links), f"{name}-groups")
-    tested, served, rest = pairs, 1, None
-    while True:
-        base = shared if rest is None else rest
-        named = base.join(groups, base["id"] == groups["node"], "left").select(
-            *base.columns, F.coalesce("component", "id").alias("group"))
-        # a bucket is finished if it is one component, or if all members but the last were centres
-        mixed = named.groupBy("key").agg(
-            F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("n")).filter(
-            f"lo <> hi AND n > {served + 1}").select("key")
-        left = cut(named.join(mixed, "key", "left_semi"), f"{name}-open")
-        if left.isEmpty():
-            return links, groups
-        if rest is None:
-            left = cut(order_rows(left, ["key"], ["id"], "rank"), f"{name}-open")
-        rest = left.select("key", "id", "rank")
-        upto = served * 4
-        centre = left.filter(f"rank >= {served} AND rank < {upto}").select(
-            "key", F.col("id").alias("a"), F.col("rank").alias("_rank"), F.col("group").alias("_group"))
-        fresh = left.join(centre, "key").filter("rank > _rank AND group <> _group").select("a", F.col("id").alias("b")).distinct()
-        fresh = cut(fresh.join(tested, ["a", "b"], "left_anti"), f"{name}-pairs")
-        found = cut(verify(fresh), f"{name}-links")
-        tested, served = tested.union(fresh), upto
-        if not found.isEmpty():
-            links = links.union(found)
-            groups = cut(connected_components(links), f"{name}-groups")
+    named = starred.join(groups.toDF("b", "group"), "b", "left").withColumn("group", F.coalesce("group", "b"))
+    mixed = named.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("key")
+    rest = named.join(mixed, "key", "left_semi").select("a", "b", "group").distinct()
+    rest = rest.join(groups.toDF("a", "_ga"), "a", "left").withColumn("inside", F.col("group") == F.coalesce("_ga", "a")).drop("_ga")
+    rest = cut(rest, f"{name}-rest")
+    if rest.isEmpty():
+        return groups
+    spread = cut(with_texts(rest).mapInArrow(
+        differences, "a long, b long, group long, e long, nd int, n int, place int, small boolean"), f"{name}-differences")
+    x, y = (spread.select(*[F.col(c).alias(f"{side}_{c}") for c in spread.columns]) for side in "xy")
+    need = F.col("x_nd") + F.col("y_nd") - cap * (F.col("x_n") + F.col("y_n")) - 1e-9
+    meet = x.filter("x_small").join(y, (F.col("x_a") == F.col("y_a")) & (F.col("x_e") == F.col("y_e")) & (F.col("x_group") != F.col("y_group")) & (
+        (F.col("x_nd") < F.col("y_nd")) | ((F.col("x_nd") == F.col("y_nd")) & (F.col("x_b") != F.col("y_b")))) & (
+        2 * (F.col("x_nd") - F.col("x_place")) >= need) & (2 * (F.col("y_nd") - F.col("y_place")) >= need))
+    found = verified(meet.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct())
+    return groups if found.isEmpty() else cut(connected_components(links.union(found)), f"{name}-groups")

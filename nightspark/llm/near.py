@@ -99,21 +99,21 @@ def near_duplicates(
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            count, name, regs, bands = [], [], [], []
-            for s in document_sets(binary_texts(batch, "body"), shingle):
-                count.append(len(s))
-                r = registers(s, factors) if len(s) else None
-                name.append(set_name(s) if len(s) else None)
-                regs.append(None if r is None else r.tobytes())
-                if r is None:
-                    bands.append(None)
-                    continue
+            bodies = binary_texts(batch, "body")
+            for lo, hi in some_bytes(bodies):
+                found = document_sets(bodies[lo:hi], shingle)
+                full = np.array([len(s) > 0 for s in found])
+                regs = np.stack([registers(s, factors) for s in found if len(s)]) if full.any() else np.empty((0, len(factors)), np.uint16)
                 with np.errstate(over="ignore"):
-                    key = (r.reshape(BANDS, ROWS).astype(np.uint64) * weights).sum(axis=1) + np.arange(1, BANDS + 1, dtype=np.uint64)
-                    bands.append(mixed(mixed(key) + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array(count, pa.int64()), pa.array(name, pa.binary()), pa.array(regs, pa.binary()),
-                 pa.array(bands, pa.list_(pa.int64()))], ["doc", "n", "name", "regs", "bands"])
+                    key = (regs.reshape(-1, BANDS, ROWS).astype(np.uint64) * weights).sum(axis=2)
+                    key = mixed(mixed(key) + np.arange(1, BANDS + 1, dtype=np.uint64))
+                at = iter(zip(regs, key.view(np.int64), strict=True))
+                rows = [next(at) if f else (None, None) for f in full]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc").slice(lo, hi - lo), pa.array([len(s) for s in found], pa.int64()),
+                     pa.array([set_name(s) if len(s) else None for s in found], pa.binary()),
+                     pa.array([None if r is None else r.tobytes() for r, _ in rows], pa.binary()),
+                     pa.array([k for _, k in rows], pa.list_(pa.int64()))], ["doc", "n", "name", "regs", "bands"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body"))
     sketches = cut(source.mapInArrow(sketch, "doc long, n long, name binary, regs binary, bands array<long>"), "sketches")
@@ -127,42 +127,29 @@ def near_duplicates(
             if batch.num_rows:
                 left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, len(factors)) for c in ("ra", "rb"))
                 na, nb = (batch.column(c).to_numpy().astype(np.float64) for c in ("na", "nb"))
-                yield batch.select(["a", "name_a", "b", "name_b"]).filter(pa.array(likely(left, right, na, nb, percent / 100)))
+                yield batch.select(["a", "b"]).filter(pa.array(likely(left, right, na, nb, percent / 100)))
 
-    def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def likely_pairs(pairs: DataFrame) -> DataFrame:
+        side = classes.select("id", "n", "regs")
+        sized = pairs.join(side.toDF("a", "na", "ra"), "a").join(side.toDF("b", "nb", "rb"), "b").filter(
+            100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        return sized.mapInArrow(hopeful, "a long, b long").distinct()
+
+    def right_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies = binary_texts(batch, "body")
             for lo, hi in some_bytes(bodies):
-                sets = document_sets(bodies[lo:hi], shingle)
+                names = [set_name(s) if len(s) else None for s in document_sets(bodies[lo:hi], shingle)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").slice(lo, hi - lo), pa.array([set_name(s) if len(s) else None for s in sets], pa.binary()),
-                     pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "name", "shingles"])
+                    [batch.column("doc").slice(lo, hi - lo), pa.array(names, pa.binary()), pa.array(bodies[lo:hi], pa.binary())], ["id", "name", "body"])
 
-    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        side = classes.select("id", "name", "n", "regs")
-        a = side.toDF("a", "name_a", "na", "ra")
-        b = side.toDF("b", "name_b", "nb", "rb")
-        # two sets of these sizes can be similar enough
-        sized = pairs.join(a, "a").join(b, "b").filter(
-            (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("name_a") != F.col("name_b")))
-        may = cut(sized.mapInArrow(hopeful, "a long, name_a binary, b long, name_b binary"), "likely-pairs")
-        asked = may.select(F.col("a").alias("doc"), F.col("name_a").alias("name")).union(may.select("b", "name_b")).distinct()
-        texts = source.join(asked.select("doc").distinct(), "doc", "left_semi")
-        sets = texts.mapInArrow(full_sets, "doc long, name binary, shingles binary").join(asked, ["doc", "name"], "left_semi").dropDuplicates(["doc", "name"])
-        sets = cut(sets, "full-sets")
-        return may.join(sets.toDF("a", "name_a", "sa"), ["a", "name_a"]).join(sets.toDF("b", "name_b", "sb"), ["b", "name_b"]).mapInArrow(
-            confirmed, "a long, b long").distinct()
-
-    links, groups = linked(bands, verify, "near")
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """A text of each class, under the class's id."""
+        asked = classes.select("id", "name").join(ids, "id", "left_semi")
+        own = source.join(ids.toDF("doc"), "doc", "left_semi").mapInArrow(right_texts, "id long, name binary, body binary")
+        return own.join(asked, ["id", "name"], "left_semi").dropDuplicates(["id", "name"]).select("id", "body")
+
+    groups = linked(bands, texts_of, lambda bodies: document_sets(bodies, shingle), percent, "near", likely_pairs)
     named = classes.join(groups, classes["id"] == groups["node"], "left").select(
         F.col("name").alias("_name"), F.col("n").alias("_n"), "members", "id", F.coalesce("component", "id").alias("component")).filter(
         "members > 1 OR component <> id").select("_name", "_n", "component")

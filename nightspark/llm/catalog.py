@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nightspark.llm import decontaminate, licenses, lines, near, packing, preferences, quality, separators, urls
+from nightspark.llm import decontaminate, licenses, lines, near, packing, preferences, quality, scoring, separators, urls
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -30,6 +30,7 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: _query(fn) for name, fn in {
         "op1_token_counts": separators.op1_token_counts,
+        "op2_lm_scoring": scoring.op2_lm_scoring,
         "op3_url_filter": urls.op3_url_filter,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op5_near_duplicates": near.op5_near_duplicates,

@@ -1,7 +1,7 @@
 """Licence scan by a positional index of rare licence words.
 
-Only DataFrame functions.  A document's licence words with the highest IDF are
-looked up in the postings (template, place) of the templates; lookups that
+Only DataFrame functions.  A document's licence words with the highest IDF (of
+each template) are looked up in the postings (template, place) of the templates; lookups that
 agree on where the template would start are counted; starts with two or more
 are compared word by word, and the template's key phrases must stand in place.
 """
@@ -47,8 +47,8 @@ TEMPLATES = (
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 # end of fixed values
 
-#: Licence words of a document that are looked up, the rarest ones.
-LOOKUPS = 8
+#: Of each template, so many of the licence words in a document are looked up, the rarest ones.
+LOOKUPS = 4
 #: Least share of a template's words that stand in place.
 LEAST_SHARE = 0.6
 SHIFT, ROOM = 1 << 40, 1 << 20
@@ -110,7 +110,9 @@ def aligned(words: Column, found: Column, frequencies: dict[str, int], templates
     fixed = F.array(*[F.array(*map(F.lit, k)) for k in keys])
 
     ranked = F.sort_array(F.transform(found, lambda w: F.struct(F.element_at(frequency, w).alias("n"), w.alias("w"))))
-    rare = F.transform(F.slice(ranked, 1, LOOKUPS), lambda x: x["w"])
+    # of each template, so that one licence in a document does not hide another
+    rare = F.array_distinct(F.flatten(F.transform(bodies, lambda body: F.slice(F.transform(F.filter(
+        ranked, lambda x: F.array_contains(body, x["w"])), lambda x: x["w"]), 1, LOOKUPS))))
 
     def starts(rare: Column) -> Column:
         """template * SHIFT + ROOM + start, one for each lookup."""

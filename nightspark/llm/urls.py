@@ -83,7 +83,7 @@ def mine_rules(
     counts = items.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     often = [r.token for r in counts.filter(F.col("n") >= most_common * max(total, 1)).collect()]
     tokens = F.array_except("tokens", F.array(*map(F.lit, often)).cast("array<string>")) if often else F.col("tokens")
-    baskets = items.select(F.when(F.col("bad"), F.array_append(tokens, BAD)).otherwise(tokens).alias("items")).filter(F.size("items") > 0)
+    baskets = items.select(F.when(F.col("bad"), F.array_append(tokens, BAD)).otherwise(tokens).alias("items"))
     support = min(1.0, max(min_support, min_rows / max(total, 1)))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     rules = cut(model.associationRules.filter((F.col("support") * max(total, 1) >= min_rows - 0.5) & (F.element_at("consequent", 1) == BAD) & (F.col("lift") >= min_lift)).select(

@@ -61,6 +61,10 @@ def shared_buckets(bands: DataFrame) -> DataFrame:
         spread.join(wide, "key", "left_semi"))
 
 
+#: Buckets of so many members (besides the centre) or fewer are compared pair by pair.
+FEW = 8
+
+
 def linked(
     bands: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[list[bytes]], list[np.ndarray]],
     percent: int, name: str, likely: Callable[[DataFrame], DataFrame] | None = None,
@@ -71,7 +75,8 @@ def linked(
     hashes of bodies; ``likely`` may drop pairs (a, b) that cannot be links.
 
     First all members of a bucket are compared with its smallest id, the
-    centre.  Where a bucket then still holds several components, each member is
+    centre.  Where a bucket then still holds several components, its members are
+    compared directly if they are ``FEW`` at most; of a larger bucket, each member is
     written as its difference to the centre.  Two members in different
     components can be linked only if their differences overlap by more than a
     known number of elements, so they share one early in a fixed order
@@ -93,8 +98,9 @@ def linked(
                 held = sets([*a, *b], [x[1] for x in (*a, *b)])
                 keep = []
                 for x, y in zip(a, b, strict=True):
-                    both = len(np.intersect1d(held[x], held[y], assume_unique=True))
-                    keep.append(100 * both >= percent * (len(held[x]) + len(held[y]) - both))
+                    small, large = sorted((len(held[x]), len(held[y])))
+                    both = len(np.intersect1d(held[x], held[y], assume_unique=True)) if 100 * small >= percent * large else 0
+                    keep.append(100 * both >= percent * (small + large - both))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,11 +146,16 @@ def linked(
     links = verified(starred.select("a", "b").distinct())
     groups = cut(connected_components(links), f"{name}-groups")
     named = starred.join(groups.toDF("b", "group"), "b", "left").withColumn("group", F.coalesce("group", "b"))
-    mixed = named.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("key")
-    rest = named.join(mixed, "key", "left_semi").select("a", "b", "group").distinct()
+    named = cut(named, f"{name}-named")
+    mixed = cut(named.groupBy("key").agg(
+        F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("key", "n"), f"{name}-mixed")
+    few = named.join(mixed.filter(F.col("n") <= FEW).select("key"), "key", "left_semi").select("key", "b", "group")
+    direct = few.select("key", F.col("b").alias("_a"), F.col("group").alias("_group")).join(few, "key").filter(
+        "_a < b AND _group <> group").select(F.col("_a").alias("a"), "b").distinct()
+    rest = named.join(mixed.filter(F.col("n") > FEW).select("key"), "key", "left_semi").select("a", "b", "group").distinct()
     rest = rest.join(groups.toDF("a", "_ga"), "a", "left").withColumn("inside", F.col("group") == F.coalesce("_ga", "a")).drop("_ga")
     rest = cut(rest, f"{name}-rest")
-    if rest.isEmpty():
+    if mixed.isEmpty():
         return groups
     spread = cut(with_texts(rest).mapInArrow(
         differences, "a long, b long, group long, e long, nd int, n int, place int, small boolean"), f"{name}-differences")
@@ -153,5 +164,6 @@ def linked(
     meet = x.filter("x_small").join(y, (F.col("x_a") == F.col("y_a")) & (F.col("x_e") == F.col("y_e")) & (F.col("x_group") != F.col("y_group")) & (
         (F.col("x_nd") < F.col("y_nd")) | ((F.col("x_nd") == F.col("y_nd")) & (F.col("x_b") != F.col("y_b")))) & (
         2 * (F.col("x_nd") - F.col("x_place")) >= need) & (2 * (F.col("y_nd") - F.col("y_place")) >= need))
-    found = verified(meet.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct())
+    pairs = meet.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).union(direct).distinct()
+    found = verified(pairs)
     return groups if found.isEmpty() else cut(connected_components(links.union(found)), f"{name}-groups")

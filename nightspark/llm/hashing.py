@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 
@@ -20,6 +21,7 @@ def _powers(n: int) -> np.ndarray:
         return np.multiply.accumulate(out)
 
 
+@cache
 def multipliers(n: int, seed: int) -> np.ndarray:
     """``n`` odd 64-bit numbers, the same everywhere."""
     with np.errstate(over="ignore"):
@@ -107,7 +109,28 @@ def line_minima(lines: list[bytes], size: int, factors: np.ndarray, block: int =
     return np.concatenate(out, axis=1) if out else np.empty((len(factors), 0), np.uint64)
 
 
+def line_shingles(lines: list[bytes], size: int, block: int = 1 << 15) -> list[np.ndarray]:
+    """Sorted distinct character-shingle hashes of each line; no line is empty."""
+    out, some, held = [], [], 0
+    for line in [*lines, None]:
+        if some and (line is None or held + len(line) > block):
+            flat, begin = _block_shingles(some, size)
+            out += [np.unique(x) for x in np.split(flat, begin[1:])]
+            some, held = [], 0
+        if line is not None:
+            some.append(line)
+            held += len(line)
+    return out
+
+
 def _block_minima(lines: list[bytes], size: int, factors: np.ndarray) -> np.ndarray:
+    flat, begin = _block_shingles(lines, size)
+    with np.errstate(over="ignore"):
+        return np.stack([np.minimum.reduceat(flat * f, begin) for f in factors])
+
+
+def _block_shingles(lines: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of all lines in a row, and where each line's begin."""
     joined = (b"\n".join(lines) + b"\n" + b" " * size).decode()
     chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     ends = np.flatnonzero(chars == 10)
@@ -118,10 +141,10 @@ def _block_minima(lines: list[bytes], size: int, factors: np.ndarray) -> np.ndar
         total = np.full(len(chars) - size + 1, size, np.uint64)
         for k, m in enumerate(multipliers(size, 3)):
             total += value[k : len(chars) - size + 1 + k] * m
-        shingles = mixed(total)
-        count = np.maximum(length - size + 1, 1)
-        begin = np.cumsum(count) - count
-        flat = shingles[np.repeat(starts - begin, count) + np.arange(count.sum())]
-        for i in np.flatnonzero(length < size):
-            flat[begin[i]] = char_shingles(lines[i].decode(), size)[0]
-        return np.stack([np.minimum.reduceat(flat * f, begin) for f in factors])
+    shingles = mixed(total)
+    count = np.maximum(length - size + 1, 1)
+    begin = np.cumsum(count) - count
+    flat = shingles[np.repeat(starts - begin, count) + np.arange(count.sum())]
+    for i in np.flatnonzero(length < size):
+        flat[begin[i]] = char_shingles(lines[i].decode(), size)[0]
+    return flat, begin

@@ -120,7 +120,7 @@ def near_duplicates(
     classes = cut(sketches.filter("doc IS NOT NULL AND name IS NOT NULL").groupBy("name", "n").agg(
         F.min("doc").alias("id"), F.count(F.lit(1)).alias("members"), F.first("regs").alias("regs"),
         F.first("bands").alias("bands")), "classes")
-    bands = classes.select(F.explode("bands").alias("key"), "id").distinct()
+    bands = classes.select(F.explode("bands").alias("key"), "id")
 
     def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

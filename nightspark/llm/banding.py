@@ -28,6 +28,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.concatenate((held_id, batch.column("id").to_numpy(zero_copy_only=False)))
         if not len(key):
             continue
+        # equal rows stand side by side and count once
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])))
+        key, ids = key[fresh], ids[fresh]
         same = key[1:] == key[:-1]
         many = np.concatenate((same, [False])) | np.concatenate(([False], same))
         keep = many.copy()
@@ -45,7 +48,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
-    """The rows (key, id) of keys that several ids share; ``bands`` is a table, its rows distinct.
+    """The distinct rows (key, id) of keys that several ids share; ``bands`` is read from a table.
 
     Rows are dealt by (key, id), so a bucket with a third of all rows is spread
     over a third of the partitions; a run that a partition border cuts is put

@@ -81,15 +81,3 @@ def minus(values: Column, base: Column) -> Column:
 
 def has_null(values: Column) -> Column:
     return F.exists(values, lambda x: x.isNull())
-
-
-def euclidean(a: list[Column], b: list[Column]) -> Column:
-    total = F.lit(0.0)
-    for x, y in zip(a, b):
-        total = total + (x - y) * (x - y)
-    return F.sqrt(total)
-
-
-def array_distance(a: Column, b: Column) -> Column:
-    squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))

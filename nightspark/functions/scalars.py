@@ -44,9 +44,21 @@ def parse_ampm_seconds(text: Column) -> Column:
     return hour24 * 3600 + part(2).try_cast("int") * 60 + part(3).try_cast("int")
 
 
+def seconds_between(later: Column, earlier: Column) -> Column:
+    """Elapsed seconds (double) between two zone-less timestamps, whatever the session's zone."""
+    elapsed = later.cast("timestamp_ntz") - earlier.cast("timestamp_ntz")
+    return elapsed.cast("interval second").cast("decimal(20,6)").cast("double")
+
+
+def add_seconds(ts: Column, seconds: Column) -> Column:
+    """A zone-less timestamp some seconds later."""
+    return ts.cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+
+
 def parse_datetime(text: Column, formats: Sequence[str]) -> Column:
-    """First format that parses, else null."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    """First format that parses, else null; a clock time that the session's zone skips is kept as it is."""
+    at = F.coalesce(*[F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(f"{f} xx")) for f in formats])
+    return add_seconds(F.lit("1970-01-01"), F.unix_micros(at).cast("decimal(20,0)") / 1000000)
 
 
 def parse_birthdate(text: Column, pivot: int = 25) -> tuple[Column, Column]:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nightspark import config as C
 from nightspark.config import Layout
 from nightspark.functions.scalars import entropy_term, gain
+from nightspark.operators.intervals import epoch
 from nightspark.operators.ranks import average_rank, exact_percentiles, with_scalars
 from nightspark.operators.series import neighbours, transition_pairs
 
@@ -169,23 +171,31 @@ def transition_entropy(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("scale", "from_state").agg(F.sum(entropy_term(F.col("prob"))).alias("row_entropy"))
 
 
-def stationary_distribution(matrix: DataFrame, doublings: int = 10) -> DataFrame:
-    """Left eigenvector by squaring the lazy chain (P + I) / 2.
+def stationary_distribution(matrix: DataFrame, tolerance: float = 1e-14) -> DataFrame:
+    """Stationary shares of each scale's chain, by squaring (P + I) / 2 until it stands still.
 
-    The matrix has at most K^2 rows per scale; each squaring is one join of it
-    with itself, cut with a checkpoint.  The lazy chain has the same stationary
-    vector and always converges.
+    The matrix is a parameter table of (number of labels)^2 rows per scale, so
+    it is solved on the driver.  Squaring doubles the number of steps: a chain
+    that changes state once in 10^9 steps takes some 40.  Shares are the mean
+    over all starting states; a state without transitions keeps its mass.
     """
-    from nightspark.operators.ordering import stable
-
-    same = F.when(F.col("from_state") == F.col("to_state"), 0.5).otherwise(0.0)
-    m = stable(matrix.select("scale", "from_state", "to_state", (F.col("prob") / 2 + same).alias("p")))
-    for _ in range(doublings):
-        left = m.select("scale", "from_state", F.col("to_state").alias("k"), F.col("p").alias("a"))
-        right = m.select("scale", F.col("from_state").alias("k"), "to_state", F.col("p").alias("b"))
-        m = stable(left.join(right, ["scale", "k"]).groupBy("scale", "from_state", "to_state").agg(
-            F.sum(F.col("a") * F.col("b")).alias("p")).coalesce(1))
-    return m.groupBy("scale", F.col("to_state").alias("state")).agg(F.avg("p").alias("stationary"))
+    chains: dict[str, dict[tuple[str, str], float]] = {}
+    for r in matrix.select("scale", "from_state", "to_state", "prob").collect():
+        chains.setdefault(r["scale"], {})[r["from_state"], r["to_state"]] = float(r["prob"] or 0.0)
+    out = []
+    for scale, prob in chains.items():
+        states = sorted({s for pair in prob for s in pair})
+        p = np.array([[prob.get((a, b), 0.0) for b in states] for a in states])
+        p = (p + np.eye(len(states))) / 2
+        p[p.sum(axis=1) < 0.75] = np.eye(len(states))[p.sum(axis=1) < 0.75]
+        moved = 1.0
+        while moved > tolerance:
+            q = p @ p
+            # rounding must not let the mass of a row drift
+            q /= q.sum(axis=1, keepdims=True)
+            moved, p = np.abs(q - p).max(), q
+        out += [(scale, s, float(x)) for s, x in zip(states, p.mean(axis=0), strict=True)]
+    return matrix.sparkSession.createDataFrame(out, "scale string, state string, stationary double")
 
 
 def equal_width_profile(df: DataFrame, by: str, values: Sequence[str], bins: int = 10) -> DataFrame:
@@ -209,7 +219,7 @@ def tercile_profile(df: DataFrame, by: str, values: Sequence[str], labels=("low"
 
 def half_night_pattern(events: DataFrame, flag: Column) -> DataFrame:
     """Share of flagged events after each record's median event time, and its name."""
-    t = F.unix_micros(F.col("ts_start").cast("timestamp")) / 1e6
+    t = epoch(F.col("ts_start"))
     ev = events.withColumn("_t", t)
     mid = exact_percentiles(ev, [KEY], ["_t"], {"mid": 0.5})
     rows = ev.filter(flag).join(mid, KEY)

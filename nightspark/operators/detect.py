@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from nightspark import config as C
 from nightspark.config import Layout, Params
 from nightspark.functions.curves import needed_offsets, resample, resample_pairs
-from nightspark.functions.scalars import reactivity_components, reactivity_score
+from nightspark.functions.scalars import reactivity_components, reactivity_score, seconds_between
 from nightspark.operators.intervals import near_any, spread_over_chunks
 from nightspark.operators.ordering import stable
-from nightspark.operators.qc import seconds_between, signal_gaps
+from nightspark.operators.qc import signal_gaps
 from nightspark.operators.scans import framed, next_at_least, run_bounds, running
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from nightspark import config as C
 from nightspark.config import Layout, Params
+from nightspark.functions.scalars import seconds_between
 from nightspark.operators.ordering import stable
-from nightspark.operators.qc import seconds_between
 from nightspark.operators.ranks import exact_percentiles
 from nightspark.operators.scans import run_bounds, running
 

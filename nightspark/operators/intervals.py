@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nightspark.config import Layout
+from nightspark.functions.scalars import seconds_between
 from nightspark.operators.ordering import order_rows
 from nightspark.operators.scans import running
 
 
 def epoch(ts: Column) -> Column:
-    """Seconds since 1970 (double) of a zone-less timestamp."""
-    return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)
+    """Seconds since 1970 (double) of a zone-less timestamp, whatever the session's zone."""
+    return seconds_between(ts, F.lit("1970-01-01").cast("timestamp_ntz"))
 
 
 def _cell(seconds: Column, width: float | Column) -> Column:

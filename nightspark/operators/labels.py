@@ -130,7 +130,7 @@ def label_windows(
     windows: DataFrame, models: dict[str, CentroidModel], owners: DataFrame, spans: DataFrame,
 ) -> DataFrame:
     """State table: label and distance per window, relative seconds, eligibility."""
-    from nightspark.operators.qc import seconds_between
+    from nightspark.functions.scalars import seconds_between
     from nightspark.operators.windows import training_windows
 
     parts = None

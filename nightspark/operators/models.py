@@ -7,6 +7,7 @@ row of metrics per fold) reach the driver.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from inspect import signature
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -23,7 +24,6 @@ from nightspark.operators.ordering import stable
 from nightspark.operators.ranks import with_scalars
 from nightspark.operators.stats import confusion_metrics, davies_bouldin, roc_auc
 
-MAX_FOLDS = 200
 
 
 def z_vectors(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -130,17 +130,22 @@ def night_phenotypes(nights: DataFrame, features: Sequence[str], by: str, keep:
 
 
 def balanced_weights(train: DataFrame, label: str) -> DataFrame:
-    """``_w`` = rows / (classes * rows of the class)."""
-    n = train.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    """``_w`` = rows / (classes * rows of the class).
+
+    Rows without a label carry no information for a fit and are left out here;
+    they are still scored.  The table of weights has a row per class.
+    """
+    known = train.filter(F.col(label).isNotNull())
+    n = known.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total = n.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_k"))
     w = with_scalars(n, total).select(F.col(label).alias("_y"), (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("_w"))
-    return train.join(F.broadcast(w), F.col(label) == F.col("_y")).drop("_y")
+    return known.join(w, F.col(label) == F.col("_y")).drop("_y")
 
 
 def pipeline(features: Sequence[str], classifier, scale: bool = True) -> Pipeline:
     filled = [f"_f_{f}" for f in features]
     stages = [
-        Imputer(strategy="median", inputCols=list(features), outputCols=filled),
+        Imputer(strategy="median", relativeError=0.0, inputCols=list(features), outputCols=filled),
         VectorAssembler(inputCols=filled, outputCol="_raw" if scale else "features"),
     ]
     if scale:
@@ -148,15 +153,16 @@ def pipeline(features: Sequence[str], classifier, scale: bool = True) -> Pipelin
     return Pipeline(stages=[*stages, classifier])
 
 
-def logistic(label: str) -> LogisticRegression:
-    return LogisticRegression(featuresCol="features", labelCol=label, weightCol="_w", maxIter=50, regParam=1e-4)
+def logistic(label: str, rows: int = 0) -> LogisticRegression:
+    """Balanced L2 logistic regression with C = 1: a penalty of 1 / rows on the mean loss."""
+    return LogisticRegression(featuresCol="features", labelCol=label, weightCol="_w", maxIter=100, regParam=1.0 / rows if rows else 1e-4)
 
 
-def boosted(label: str, rounds: int = 20, depth: int = 4) -> GBTClassifier:
+def boosted(label: str, rounds: int = 300, depth: int = 5) -> GBTClassifier:
     return GBTClassifier(featuresCol="features", labelCol=label, weightCol="_w", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=42)
 
 
-def forest(label: str, trees: int = 50, depth: int = 10) -> RandomForestClassifier:
+def forest(label: str, trees: int = 300, depth: int = 15) -> RandomForestClassifier:
     return RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="_w", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=42)
 
 
@@ -164,41 +170,54 @@ def with_folds(df: DataFrame, owner: str, folds: int | None) -> tuple[DataFrame,
     """``_fold`` per row: the owner itself, or one of ``folds`` owner groups.
 
     Every owner's rows stay in one fold, so each row is scored by a model that
-    never saw its owner.
+    never saw its owner.  One fold is one fit, so the list of folds is as long
+    as the list of models.
     """
     if folds:
         return df.withColumn("_fold", F.pmod(F.xxhash64(owner), F.lit(folds))), list(range(folds))
-    names = [r[0] for r in df.select(owner).distinct().limit(MAX_FOLDS + 1).collect()]
-    if len(names) > MAX_FOLDS:
-        raise ValueError(f"more than {MAX_FOLDS} owners: pass folds= to group them")
-    return df.withColumn("_fold", F.col(owner)), sorted(names)
+    return df.withColumn("_fold", F.col(owner)), sorted(r[0] for r in df.filter(F.col(owner).isNotNull()).select(owner).distinct().collect())
 
 
 def out_of_fold(
     df: DataFrame, features: Sequence[str], label: str, owner: str, keep: Sequence[str],
-    make: Callable[[str], object], folds: int | None = None, scale: bool = True, parallelism: int = 4,
+    make: Callable[..., object], folds: int | None = None, scale: bool = True, parallelism: int = 4,
 ) -> tuple[DataFrame, list]:
-    """Out-of-fold class probabilities keyed by ``keep``, and the fold models."""
+    """Out-of-fold class probabilities keyed by ``keep``, and the fold models.
+
+    ``fold_status`` is "fitted", or "one_class" where the other folds hold one
+    class only: its rows then get that class with probability 1.  ``make`` takes
+    the label column and, if it wants, the number of training rows.
+    """
     cols = list(dict.fromkeys([*keep, owner, *features]))
     data = df.select(*cols, F.col(label).cast("double").alias("_label")).withColumns({f: F.col(f).cast("double") for f in features})
     data, names = with_folds(data, owner, folds)
     data = stable(data)
+    counts = data.filter("_label IS NOT NULL").groupBy("_fold", "_label").agg(F.count(F.lit(1)).alias("n")).collect()
+    labels = sorted({r["_label"] for r in counts})
+    width = int(labels[-1]) + 1 if labels else 1
+    shown = list(dict.fromkeys([*keep, owner]))
+    wants_rows = "rows" in signature(make).parameters
 
     def one(name):
-        train = data.filter(F.col("_fold") != name)
-        if train.select("_label").distinct().limit(2).count() < 2:
-            return None
-        model = pipeline(features, make("_label"), scale).fit(balanced_weights(train, "_label"))
+        rows = sum(r["n"] for r in counts if r["_fold"] != name)
+        seen = sorted({r["_label"] for r in counts if r["_fold"] != name})
         held = data.filter(F.col("_fold") == name)
-        scored = model.transform(held).select(*dict.fromkeys([*keep, owner]), "_label", "prediction", vector_to_array("probability").alias("probability"))
-        return scored, model
+        if len(seen) < 2:
+            only = int(seen[0]) if seen else None
+            constant = F.array(*[F.lit(float(k == only) if only is not None else None).cast("double") for k in range(max(width, 2))])
+            return held.select(*shown, "_label", F.lit(only).cast("double").alias("prediction"), constant.alias("probability"),
+                               F.lit("one_class").alias("fold_status")), None
+        train = balanced_weights(data.filter(F.col("_fold") != name), "_label")
+        model = pipeline(features, make("_label", rows=rows) if wants_rows else make("_label"), scale).fit(train)
+        return model.transform(held).select(
+            *shown, "_label", "prediction", vector_to_array("probability").alias("probability"), F.lit("fitted").alias("fold_status")), model
 
     with ThreadPool(parallelism) as pool:
-        done = [x for x in pool.map(one, names) if x is not None]
-    out = None
+        done = pool.map(one, names)
+    out = data.limit(0).select(*shown, "_label", F.lit(0.0).alias("prediction"), F.array().cast("array<double>").alias("probability"), F.lit("").alias("fold_status"))
     for scored, _ in done:
-        out = scored if out is None else out.unionByName(scored)
-    return stable(out), [m for _, m in done]
+        out = out.unionByName(scored)
+    return stable(out), [m for _, m in done if m is not None]
 
 
 def fold_scores(predictions: DataFrame, owner: str) -> DataFrame:
@@ -236,7 +255,3 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
-
-
-def positive(probability: Column) -> Column:
-    return probability[1]

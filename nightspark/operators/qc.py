@@ -7,16 +7,10 @@ from pyspark.sql import functions as F
 
 from nightspark import config as C
 from nightspark.config import Layout, Params
-from nightspark.functions.scalars import clean, out_of_range
+from nightspark.functions.scalars import clean, out_of_range, seconds_between
 from nightspark.operators.scans import framed
 
 
-def seconds_between(later: Column, earlier: Column) -> Column:
-    """Elapsed seconds (double) between two zone-less timestamps."""
-    micros = F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))
-    return micros / F.lit(1e6)
-
-
 def range_qc(df: DataFrame, column: str, low: float | None = None, high: float | None = None) -> DataFrame:
     bad = out_of_range(F.col(column), low, high)
     return df.withColumns({f"{column}_invalid": bad, f"{column}_clean": clean(F.col(column), bad)})

@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightspark.config import Layout, Params
-from nightspark.functions.scalars import parse_ampm_seconds, severe_label
+from nightspark.functions.scalars import add_seconds, parse_ampm_seconds, severe_label
 from nightspark.operators.intervals import asof_join, epoch, interval_join, near_any
 from nightspark.operators.ordering import order_rows
 from nightspark.operators.scans import framed, run_bounds, running
-from nightspark.operators.windows import add_seconds
 
 KEY = "night_record_id"
 
@@ -40,14 +39,18 @@ def stage_runs(signal: DataFrame, layout: Layout) -> DataFrame:
 
 
 def run_length_stats(runs: DataFrame, short_rows: int = 30) -> DataFrame:
-    """Per record and stage 0..3: median run, number of runs, share of short runs.
+    """Per record and each stage 0..3: median run (null without one), number of runs, share of short runs.
 
     Run lengths sum to the record length, so distinct lengths stay few and the
     exact median holds few counters.
     """
-    return runs.filter(F.col("stage") >= 0).groupBy(KEY, "stage").agg(
-        F.percentile("run_rows", 0.5).alias("median_run_s"), F.count(F.lit(1)).alias("n_runs"),
-        F.avg((F.col("run_rows") <= short_rows).cast("double")).alias("pct_short"))
+    made = []
+    for stage in range(4):
+        own = F.when(F.col("stage") == stage, F.col("run_rows"))
+        made.append(F.struct(
+            F.lit(stage).alias("stage"), F.percentile(own, 0.5).alias("median_run_s"), F.count(own).alias("n_runs"),
+            F.coalesce(F.avg((own <= short_rows).cast("double")), F.lit(0.0)).alias("pct_short")))
+    return runs.groupBy(KEY).agg(F.array(*made).alias("_all")).select(KEY, F.inline("_all"))
 
 
 def sleep_cycles(runs: DataFrame, layout: Layout, min_nrem: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nightspark import config as C
 from nightspark.config import Layout, Params
-from nightspark.functions.scalars import collapse_stage
+from nightspark.functions.scalars import add_seconds, collapse_stage
 from nightspark.operators.intervals import epoch, interval_join
 
 META = ("night_record_id", "scale", "window_idx", "t_start", "t_end", "n_samples_raw", "coverage", "is_tail")
@@ -20,12 +20,6 @@ def scale_rows(scale: Column, p: Params) -> Column:
     return out
 
 
-def add_seconds(ts: Column, seconds: Column) -> Column:
-    return F.timestamp_micros(
-        F.unix_micros(ts.cast("timestamp")) + (seconds.cast("double") * 1e6).cast("long")
-    ).cast("timestamp_ntz")
-
-
 def signal_stats(value: Column, stats: tuple[str, ...], prefix: str) -> list[Column]:
     """Null-skipping statistics; std divides by n."""
     made = {

@@ -206,11 +206,11 @@ def _(L):
     return N.transition_entropy(N.transition_matrix(L.states, L.layout))
 
 
-_sq = ["m0 AS MATERIALIZED (SELECT scale, from_state AS a, to_state AS b, prob / 2 + CASE WHEN from_state = to_state THEN 0.5 ELSE 0.0 END AS p FROM tmat)"]
-_sq += [f"m{i} AS MATERIALIZED (SELECT x.scale, x.a, y.b, sum(x.p * y.p) AS p FROM m{i - 1} x JOIN m{i - 1} y ON y.scale = x.scale AND y.a = x.b GROUP BY x.scale, x.a, y.b)" for i in range(1, 11)]
+_sq = ["m0 AS MATERIALIZED (SELECT scale, from_state AS a, to_state AS b, prob / 2 + CASE WHEN from_state <> to_state THEN 0.0 WHEN sum(prob) OVER (PARTITION BY scale, from_state) > 0 THEN 0.5 ELSE 1.0 END AS p FROM tmat)"]
+_sq += [f"m{i} AS MATERIALIZED (SELECT x.scale, x.a, y.b, sum(x.p * y.p) AS p FROM m{i - 1} x JOIN m{i - 1} y ON y.scale = x.scale AND y.a = x.b GROUP BY x.scale, x.a, y.b)" for i in range(1, 21)]
 
 
-@query("stationary_distribution", "WITH " + ", ".join(_sq) + " SELECT scale, b AS state, r6(avg(p)) AS stationary FROM m10 GROUP BY scale, b")
+@query("stationary_distribution", "WITH " + ", ".join(_sq) + " SELECT scale, b AS state, r6(avg(p)) AS stationary FROM m20 GROUP BY scale, b")
 def _(L):
     return N.stationary_distribution(N.transition_matrix(L.states, L.layout))
 

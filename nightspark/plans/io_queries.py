@@ -140,7 +140,7 @@ def _(L):
 
 @query("relative_seconds", "SELECT night_record_id, scale, window_idx, r6(t_start_s) AS t_start_s, r6(t_end_s) AS t_end_s FROM st")
 def _(L):
-    from nightspark.operators.qc import seconds_between
+    from nightspark.functions.scalars import seconds_between
 
     t0 = L.signal.groupBy(KEY).agg(F.min("timestamp").alias("t0"))
     return L.windows.join(t0, KEY).select(KEY, "scale", "window_idx", seconds_between(F.col("t_start"), F.col("t0")).alias("t_start_s"),

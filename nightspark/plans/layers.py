@@ -21,11 +21,18 @@ from nightspark.operators.ordering import shared_dir
 from nightspark.plans import fixtures as X
 from nightspark.sources import adapter as A
 
-_OPEN: dict[tuple[str, str], Layers] = {}
+_OPEN: dict[tuple, Layers] = {}
+
+
+def input_version(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names and times of the input tables; a table that is written anew makes new layers."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(folder)))
 
 
 def layers(spark: SparkSession, sf_dir: str) -> Layers:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, input_version(spark, sf_dir))
     if key not in _OPEN:
         _OPEN[key] = Layers(spark, sf_dir)
     return _OPEN[key]
@@ -35,6 +42,8 @@ class Layers:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
         self.root = f"{shared_dir(spark)}/layers-{uuid.uuid4().hex}"
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        root.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(root)
         self.p = A.PARAMS
 
     @cached_property

@@ -20,7 +20,6 @@ from nightspark.plans.series_queries import nested, scored, small_windows
 
 KEY = "night_record_id"
 IDS = [KEY, "window_idx"]
-FOLDS = 3  # patients are held out in three groups; None holds out one at a time
 EVENT_FEATURES = ("drop_pct", "duration_s", "delta_hr_bpm", "peak_mov", "frac_path_prev", "recent_morph_mean", "ci_so_far", "event_position")
 WINDOW_FEATURES = ("state_s_enc", "state_m_enc", "state_l_enc", "window_position", "n_ev_5min", "n_severe_5min",
                    "frac_severe_10min", "time_since_last_ev", "time_since_last_severe", "n_severe_sofar", "ci_sofar")
@@ -66,21 +65,40 @@ def _(L):
 
 @query("choose_k")
 def _(L):
-    return M.choose_k(M.kmeans_sweep(training_vectors(L, "l"), C.WINDOW_FEATURES, range(2, 6)))
+    return M.choose_k(M.kmeans_sweep(training_vectors(L, "l"), C.WINDOW_FEATURES, range(2, 11)))
+
+
+def scale_model(L, scale: str):
+    """(vectors, fitted model) of a scale, with all restarts; fitted once."""
+    held = L.__dict__.setdefault("_kmeans", {})
+    if scale not in held:
+        v = training_vectors(L, scale)
+        held[scale] = (v, M.fit_kmeans(v, C.STATE_K[scale]))
+    return held[scale]
+
+
+def per_scale(L, make):
+    """``make(clustered vectors, scale)`` of the three scales, one below the other."""
+    out = None
+    for scale in C.STATE_K:
+        v, model = scale_model(L, scale)
+        one = make(model.transform(v), scale).withColumn("scale", F.lit(scale))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("fit_kmeans")
 def _(L):
-    v = training_vectors(L, "l")
-    model = M.fit_kmeans(v, C.STATE_K["l"], restarts=3)
-    return model.transform(v).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f) for f in C.WINDOW_FEATURES])
+    return per_scale(L, lambda v, scale: v.groupBy("prediction").agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f) for f in C.WINDOW_FEATURES]))
 
 
 @query("silhouette")
 def _(L):
-    v = training_vectors(L, "l")
-    out = M.fit_kmeans(v, C.STATE_K["l"], restarts=1).transform(v)
-    return out.agg(F.count(F.lit(1)).alias("n")).withColumn("silhouette", F.lit(M.silhouette(out)))
+    def one(out, scale):
+        return out.agg(F.count(F.lit(1)).alias("n")).withColumn("silhouette", F.lit(M.silhouette(out)))
+
+    return per_scale(L, one)
 
 
 @query("order_clusters", """WITH m AS (SELECT e.morphotype, p.point, avg(p.spo2 - e.baseline_spo2) AS v FROM curvepts p JOIN ev e ON e.night_record_id = p.night_record_id AND e.start_idx = p.start_idx WHERE e.morphotype IS NOT NULL GROUP BY e.morphotype, p.point)
@@ -95,9 +113,10 @@ def _(L):
 
 @query("bootstrap_cluster_agreement")
 def _(L):
-    v = training_vectors(L, "l")
-    ref = M.fit_kmeans(v, C.STATE_K["l"], restarts=1).transform(v).withColumnRenamed("prediction", "ref")
-    return M.bootstrap_agreement(stable(ref), "ref", C.STATE_K["l"], 5)
+    def one(v, scale):
+        return M.bootstrap_agreement(stable(v.withColumnRenamed("prediction", "ref")), "ref", C.STATE_K[scale], 10)
+
+    return per_scale(L, one)
 
 
 @query("pca")
@@ -121,7 +140,7 @@ def _(L):
 
 @query("lopo_gbt")
 def _(L):
-    p, _ = M.out_of_fold(event_dataset(L), EVENT_FEATURES, "is_severe", "patient_id", [KEY, "start_idx"], lambda y: M.boosted(y, 10, 3), FOLDS, scale=False)
+    p, _ = M.out_of_fold(event_dataset(L), EVENT_FEATURES, "is_severe", "patient_id", [KEY, "start_idx"], lambda y: M.boosted(y, rounds=30), scale=False)
     return M.fold_scores(p, "patient_id")
 
 
@@ -137,54 +156,72 @@ def _graded(L):
 _NIGHT = ("mean_ari", "mean_hr_gain", "frac_severe_morpho", "t90_frac", "mean_hr", "sleep_efficiency", "n_transitions_state_m", "entropy_state_m")
 
 
+def forest_folds(L):
+    """(predictions, models) of the night forest, one patient held out at a time; fitted once."""
+    if "_forest" not in L.__dict__:
+        L.__dict__["_forest"] = M.out_of_fold(_graded(L), _NIGHT, "y", "patient_id", [KEY], M.forest, scale=False)
+    return L.__dict__["_forest"]
+
+
 @query("lopo_random_forest")
 def _(L):
-    p, _ = M.out_of_fold(_graded(L), _NIGHT, "y", "patient_id", [KEY], lambda y: M.forest(y, 20, 6), FOLDS, scale=False)
-    return M.multiclass_scores(p)
+    return M.multiclass_scores(forest_folds(L)[0])
 
 
 @query("feature_importance")
 def _(L):
-    _, models = M.out_of_fold(_graded(L), _NIGHT, "y", "patient_id", [KEY], lambda y: M.forest(y, 20, 6), FOLDS, scale=False)
-    return M.feature_importance(models, _NIGHT, L.spark)
+    return M.feature_importance(forest_folds(L)[1], _NIGHT, L.spark)
 
 
 @query("export_night_predictions")
 def _(L):
-    p, _ = M.out_of_fold(_graded(L), _NIGHT, "y", "patient_id", [KEY], lambda y: M.forest(y, 20, 6), FOLDS, scale=False)
-    return p.select(KEY, F.col("_label").alias("y"), "prediction", (F.col("_label") == F.col("prediction")).alias("correct"), *[F.col("probability")[i].alias(f"p{i}") for i in range(4)])
+    p, _ = forest_folds(L)
+    return p.select(KEY, F.col("_label").alias("y"), "prediction", (F.col("_label") == F.col("prediction")).alias("correct"), "fold_status", *[F.get("probability", F.lit(i)).alias(f"p{i}") for i in range(4)])
 
 
 @query("ablation")
 def _(L):
     groups = {"shape": EVENT_FEATURES[:4], "history": EVENT_FEATURES[4:], "all": EVENT_FEATURES}
-    return M.ablation(event_dataset(L), groups, "is_severe", "patient_id", [KEY, "start_idx"], M.logistic, FOLDS)
+    return M.ablation(event_dataset(L), groups, "is_severe", "patient_id", [KEY, "start_idx"], M.logistic, None)
 
 
 @query("stacked_comparison")
 def _(L):
     early = ("early_score_mean", "early_score_max", "early_severe_count")
     groups = {"base": WINDOW_FEATURES, "base_early": (*WINDOW_FEATURES, *early), "early": early}
-    return M.ablation(window_dataset(L), groups, "y_10", "patient_id", IDS, M.logistic, FOLDS)
+    return M.ablation(window_dataset(L), groups, "y_10", "patient_id", IDS, M.logistic, None)
 
 
 @query("window_risk_predictions")
 def _(L):
-    p, _ = M.out_of_fold(window_dataset(L), WINDOW_FEATURES, "y_10", "patient_id", IDS, M.logistic, FOLDS)
-    return p.select(*IDS, "patient_id", F.col("_label").alias("y"), F.col("probability")[1].alias("p_severe"))
+    """Risk of a severe event within each horizon, by a model that never saw the patient."""
+    out = None
+    for y in [c for c in window_dataset(L).columns if c.startswith("y_")]:
+        p, _ = M.out_of_fold(window_dataset(L), WINDOW_FEATURES, y, "patient_id", IDS, M.logistic)
+        one = p.select(*IDS, "patient_id", F.lit(y).alias("horizon"), F.col("_label").alias("y"), F.get("probability", F.lit(1)).alias("p_severe"), "fold_status")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def unseen(L, data, features, name: str):
+    """Scores of a model that is fitted on half of the patients, stored, loaded and applied to the other half."""
+    out = None
+    data = data.withColumns({f: F.col(f).cast("double") for f in features})
+    for half in range(2):
+        train = data.filter(F.pmod("patient_id", F.lit(2)) != half)
+        path = fresh_path(L, f"{name}-{half}")
+        M.save_model(M.pipeline(features, M.logistic("_label", rows=train.count())).fit(M.balanced_weights(train, "_label")), path)
+        one = M.load_model(path).transform(data.filter(F.pmod("patient_id", F.lit(2)) == half)).select(KEY, M.vector_to_array("probability")[1].alias("p"))
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query("score_night")
 def _(L):
-    """Frozen event and night models applied to every night, then the risk score."""
-    events = event_dataset(L).withColumn("_label", F.col("is_severe").cast("double"))
-    events = events.withColumns({f: F.col(f).cast("double") for f in EVENT_FEATURES})
-    path = fresh_path(L, "event-model")
-    M.save_model(M.pipeline(EVENT_FEATURES, M.logistic("_label")).fit(M.balanced_weights(events, "_label")), path)
-    p_event = M.load_model(path).transform(events).select(KEY, M.vector_to_array("probability")[1].alias("p"))
-    nights = _graded(L).withColumns({f: F.col(f).cast("double") for f in _NIGHT}).withColumn("_label", (F.col("y") >= 2).cast("double"))
-    night_model = M.pipeline(_NIGHT, M.logistic("_label")).fit(M.balanced_weights(nights, "_label"))
-    p_night = night_model.transform(nights).select(KEY, M.vector_to_array("probability")[1].alias("p_night"))
+    """Stored event and night models applied to nights of patients they never saw, then the risk score."""
+    p_event = unseen(L, event_dataset(L).withColumn("_label", F.col("is_severe").cast("double")), EVENT_FEATURES, "event-model")
+    nights = stable(_graded(L).withColumn("_label", (F.col("y") >= 2).cast("double")))
+    p_night = unseen(L, nights, _NIGHT, "night-model").withColumnRenamed("p", "p_night")
     per = stable(p_night.join(p_event.groupBy(KEY).agg(F.avg("p").alias("p_mean")), KEY, "left"))
     capped = with_scalars(per, exact_percentiles(per, [], ["p_mean"], {"p99": 0.99}))
     top = with_scalars(capped, capped.agg(F.max(F.least("p_mean", "p_mean_p99")).alias("_top")))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nightspark.operators.intervals import epoch
 from nightspark.plans import oracle
 from nightspark.plans.layers import Layers, layers
 
@@ -22,8 +23,10 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.round(c.cast("double"), digits)
-        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.unix_seconds(c.cast("timestamp"))
+        elif isinstance(f.dataType, T.TimestampNTZType):
+            c = F.floor(epoch(c)).cast("long")
+        elif isinstance(f.dataType, T.TimestampType):
+            c = F.unix_seconds(c)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType)):
             c = c.cast("long")
         elif isinstance(f.dataType, T.DateType):

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nightspark import config as C
+from nightspark.functions.scalars import add_seconds
 from nightspark.operators import series as S
 from nightspark.operators.intervals import asof_join, epoch, interval_join
 from nightspark.operators.ranks import exact_percentiles
-from nightspark.operators.windows import add_seconds
 from nightspark.plans import gold_queries  # noqa: F401  (defines the CTEs used here)
 from nightspark.plans.oracle import cte, runs_sql
 from nightspark.plans.registry import d6, query
@@ -44,8 +44,9 @@ def _(L):
     return S.reconstruct_timestamps(raw, L.layout, "time_text", "started").select(KEY, "seq", "timestamp")
 
 
-@query("run_length_stats", """SELECT night_record_id, run_value AS stage, r6(quantile_cont(run_rows, 0.5)) AS median_run_s, count(*) AS n_runs,
-  r6(avg(CASE WHEN run_rows <= 1 THEN 1.0 ELSE 0.0 END)) AS pct_short FROM struns WHERE run_value >= 0 GROUP BY night_record_id, run_value""")
+@query("run_length_stats", """SELECT n.night_record_id, CAST(s.stage AS BIGINT) AS stage, r6(quantile_cont(run_rows, 0.5)) AS median_run_s, count(run_rows) AS n_runs,
+  r6(coalesce(avg(CASE WHEN run_rows <= 1 THEN 1.0 WHEN run_rows > 1 THEN 0.0 END), 0.0)) AS pct_short FROM (SELECT DISTINCT night_record_id FROM struns) n CROSS JOIN (SELECT unnest(range(4)) AS stage) s
+  LEFT JOIN struns r ON r.night_record_id = n.night_record_id AND r.run_value = s.stage GROUP BY n.night_record_id, s.stage""")
 def _(L):
     return S.run_length_stats(S.stage_runs(L.signal, L.layout), short_rows=1)
 

@@ -86,9 +86,12 @@ def ingest_status(blocks: DataFrame, cohort: DataFrame | None = None) -> DataFra
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """sha256 of each file's bytes (one recording is about a megabyte)."""
+    """sha256 of each file's bytes (one recording is about a megabyte).
+
+    Files are named as in ``read_lines`` (escaped), so that any name joins.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"))
+    return files.select(F.col("_metadata.file_path").alias("file"), F.sha2("content", 256).alias("sha256"))
 
 
 def ingest_recordings(spark: SparkSession, path: str, layout: Layout = Layout(), device_columns: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -102,7 +105,7 @@ def ingest_recordings(spark: SparkSession, path: str, layout: Layout = Layout(),
     meta = block_rows(good, 0, ["user_id", "time_start"]).filter("row = 0")
     started = parse_datetime(F.col("time_start"), START_FORMATS)
     prints = fingerprints(spark, path).select(F.col("file"), "sha256")
-    recordings = meta.withColumn("ts_start", started).join(prints, "file").select(
+    recordings = meta.withColumn("ts_start", started).join(prints, "file", "left").select(
         "file", "user_id", "ts_start", record_id(F.col("sha256"), F.date_format("ts_start", "yyyy-MM-dd'T'HH:mm:ss")).alias("night_record_id"))
     device = read_device_sidecar(block_rows(good, 1, device_columns).filter("row = 0"), device_columns)
     raw = block_rows(good, 2, list(SIGNAL_MAP)).select("file", F.col("row").alias("seq"), *[F.col(a).alias(b) for a, b in SIGNAL_MAP.items()])

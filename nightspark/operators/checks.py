@@ -31,6 +31,13 @@ FEATURE_BOUNDS = {
     "n_delta": (0.0, 1000.0), "ird_mean_local": (0.0, 100.0), "frac_wake": (0.0, 1.0),
     "frac_light_sleep": (0.0, 1.0), "frac_deep_sleep": (0.0, 1.0),
 }
+STATE_COLUMNS = {
+    "night_record_id": "string", "user_id": "integer", "patient_id": "integer", "scale": "string", "window_idx": "integer",
+    "t_start": "timestamp", "t_end": "timestamp", "t_start_s": "double", "t_end_s": "double", "state_label": "string",
+    "cluster_int": "integer", "dist_to_centroid": "double", "coverage": "double", "frac_wake": "double",
+    "frac_light_sleep": "double", "frac_deep_sleep": "double", "training_eligible": "boolean",
+}
+KINDS = {"smallint": "integer", "int": "integer", "bigint": "integer", "float": "double", "timestamp_ntz": "timestamp"}
 # --- end of fixed values ---
 
 
@@ -102,7 +109,28 @@ def cross_check(coverage: DataFrame, quality: DataFrame) -> DataFrame:
         ((F.count(F.lit(1)) > 0) & (F.count_if(~known) == 0)).alias("all_known_bad"))
 
 
-def check_rows(cov: DataFrame, dom: DataFrame, out: DataFrame, coh: DataFrame, quality: DataFrame) -> DataFrame:
+def schema_lock(tables: Sequence[DataFrame], expected: dict[str, str] = STATE_COLUMNS) -> DataFrame:
+    """Per record: missing and extra columns, wrong types, B1 status.
+
+    A table has one schema, which all its records share; records that were
+    written apart come as tables of their own.  A table without the key column
+    cannot name its records: it gives one row with a null record.
+    """
+    out = None
+    for df in tables:
+        own = {c: KINDS.get(t, t) for c, t in df.dtypes}
+        missing = sorted(set(expected) - set(own))
+        extra = sorted(set(own) - set(expected))
+        wrong = sorted(c for c in own if c in expected and own[c] != expected[c])
+        records = df.select(KEY).distinct() if KEY in own else df.sparkSession.range(1).select(F.lit(None).cast("string").alias(KEY))
+        one = records.select(
+            KEY, *[F.lit(len(x)).cast("long").alias(f"n_{n}") for n, x in (("missing", missing), ("extra", extra), ("wrong", wrong))],
+            F.lit(",".join([*missing, *extra, *wrong])).alias("columns"), F.lit("FAIL" if missing or extra or wrong else "PASS").alias("b1_status"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def check_rows(lock: DataFrame, cov: DataFrame, dom: DataFrame, out: DataFrame, coh: DataFrame, quality: DataFrame) -> DataFrame:
     """Check id and status, one row each, B2 relaxed when every failure is known."""
     status = F.col("b2_status")
     b2 = cov.agg(F.when(F.max((status == "FAIL").cast("int")) == 1, "FAIL").when(F.max((status == "WARN").cast("int")) == 1, "WARN").otherwise("PASS").alias("s"))
@@ -111,7 +139,8 @@ def check_rows(cov: DataFrame, dom: DataFrame, out: DataFrame, coh: DataFrame, q
     flag = lambda df, c, i: df.agg(F.when(F.count_if(c) > 0, "WARN").otherwise("PASS").alias("status")).select(F.lit(i).alias("check_id"), "status")
     low = (F.avg("coh_l_vs_m") < COHERENCE_WARN) | (F.avg("coh_l_vs_s") < COHERENCE_WARN)
     b5 = coh.agg(F.when(low, "WARN").otherwise("PASS").alias("status")).select(F.lit("B5").alias("check_id"), "status")
-    return b2.union(flag(dom, F.col("flag_b3"), "B3")).union(flag(out, F.col("flag_b4"), "B4")).union(b5)
+    b1 = lock.agg(F.when(F.count_if(F.col("b1_status") == "FAIL") > 0, "FAIL").otherwise("PASS").alias("status")).select(F.lit("B1").alias("check_id"), "status")
+    return b1.union(b2).union(flag(dom, F.col("flag_b3"), "B3")).union(flag(out, F.col("flag_b4"), "B4")).union(b5)
 
 
 def gate(checks: DataFrame, blocking: Sequence[str], prefix: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nightspark.config import Layout, Params
 from nightspark.functions.scalars import add_seconds, parse_datetime, seconds_between
-from nightspark.operators import analytics, models, qc, series, stats
+from nightspark.operators import analytics, checks, models, qc, series, stats
 from nightspark.operators.intervals import epoch
 from nightspark.sources import recordings
 
@@ -79,3 +79,12 @@ def test_one_class_folds_keep_their_rows(spark):
     assert len(got) == 60 and len(fitted) == 2
     assert {(r.fold_status, tuple(r.probability)) for r in got if r.owner == 0} == {("one_class", (1.0, 0.0))}
     assert {r.fold_status for r in got if r.owner != 0} == {"fitted"}
+
+
+def test_schema_lock_names_every_record(spark):
+    good = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in {
+        c: {"integer": "long", "timestamp": "timestamp_ntz"}.get(t, t) for c, t in checks.STATE_COLUMNS.items()}.items()))
+    assert checks.schema_lock([good]).collect() == []
+    bad = spark.createDataFrame([("N1", "1"), ("N2", "2"), ("N1", "3")], "night_record_id string, window_idx string").withColumn("more", F.lit(1))
+    got = {r.night_record_id: (r.n_missing, r.n_extra, r.n_wrong, r.b1_status) for r in checks.schema_lock([good, bad]).collect()}
+    assert got == {n: (15, 1, 1, "FAIL") for n in ("N1", "N2")}

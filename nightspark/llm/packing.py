@@ -26,7 +26,7 @@ from nightspark.operators.ordering import order_rows
 SEQUENCE = 4096
 END_ID = 1
 #: Words held by a Python worker with their ids; then it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 _LOADED: dict[str, WordIds] = {}
 
 

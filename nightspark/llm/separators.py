@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from nightspark.llm.common import cut, fresh_path, table, type_of
 from nightspark.llm.packing import some_texts, word_ids
 
-#: <|endoftext|> of the word vocabulary; all its ids fit into 16 bits.
-END_OF_TEXT = 49407
+#: Ends a document in a file: the largest 16-bit value, which no text has (<|endoftext|> is a word that a text may hold).
+END_OF_TEXT = 65535
 BLOCK_TOKENS = 1 << 20
 #: Blocks whose summaries one task scans.
 SPAN = 1024
@@ -36,7 +36,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end: int = E
     A file is written under a name of its own and named in the result only when
     it is whole, so a task that is run again leaves no half file in the result.
     ``folder`` is shared by driver and executors (any file system that pyarrow
-    opens by its address).
+    opens by its address).  ``end`` lies above all ids of the vocabulary.
     """
     kind = type_of(docs, doc_id)
 
@@ -49,6 +49,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end: int = E
             for batch in batches:
                 texts = batch.column(1).to_pylist()
                 for lo, hi in some_texts(texts):
+                    if word_ids(tokenizer).size > end:
+                        raise ValueError(f"the vocabulary has {word_ids(tokenizer).size} ids, the end id {end} must lie above them")
                     out = out or system.open_output_stream(f"{root}/{name}")
                     ids = word_ids(tokenizer).ids(texts[lo:hi])
                     out.write(b"".join(np.frombuffer(x, "<u4").astype("<u2").tobytes() + stop for x in ids))

@@ -71,3 +71,12 @@ def test_separator_scan_over_small_blocks(documents, edge_rows, exact):
         out = separators.document_token_counts(documents(rows), PATH, block=block).collect()
         assert Counter(tuple(r) for r in out) == Counter((i, len(exact(t))) for i, t in rows)
     assert separators.document_token_counts(documents([]), PATH).collect() == []
+
+
+def test_end_ids_in_texts_part_no_documents(documents, exact):
+    rows = [(i, t) for i, t in enumerate(["one", "x<|endoftext|>y", "two words", "<|endoftext|>", "<|endoftext|><|startoftext|> z", "", "the last one"])]
+    for block in (1, 7, 1 << 20):
+        out = separators.document_token_counts(documents(rows).coalesce(1), PATH, block=block).collect()
+        assert Counter(tuple(r) for r in out) == Counter((i, len(exact(t))) for i, t in rows)
+    with pytest.raises(Exception, match="must lie above"):
+        separators.write_token_files(documents(rows), PATH, "file:///tmp/none", end=49407).collect()

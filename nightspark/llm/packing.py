@@ -9,6 +9,7 @@ fit.  Pieces then find their place by their rank among those of equal length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -27,9 +28,17 @@ SEQUENCE = 4096
 END_ID = 1
 #: Words held by a Python worker with their ids; then it starts anew.
 CACHE_WORDS = 500_000
+#: White space of str.split that is none to the tokenizer (all code points were compared); each has ids of its own.
+NO_SPACE = "\x1c\x1d\x1e\x1f"
+PART = re.compile(rf"[\S{NO_SPACE}]+")
 _LOADED: dict[str, WordIds] = {}
 
 
+def text_parts(text: str) -> list[str]:
+    """What stands between the tokenizer's white space."""
+    return PART.findall(text) if any(c in text for c in NO_SPACE) else text.split()
+
+
 class WordIds:
     """Ids of a text as the tokenizer gives them, with a cache of white-space-separated parts.
 
@@ -74,7 +83,7 @@ class WordIds:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        parts = [(t or "").split() for t in texts]
+        parts = [text_parts(t or "") for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         new = {x for p in parts for x in p if x not in self.known}

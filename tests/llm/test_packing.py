@@ -80,3 +80,16 @@ def test_end_ids_in_texts_part_no_documents(documents, exact):
         assert Counter(tuple(r) for r in out) == Counter((i, len(exact(t))) for i, t in rows)
     with pytest.raises(Exception, match="must lie above"):
         separators.write_token_files(documents(rows), PATH, "file:///tmp/none", end=49407).collect()
+
+
+CONTROLS = ["ab\x1ccd", "\x1d", "a\x1e \x1f b.", "x\x1f\x1f\u2028y\x1c", " \x1c don't\x1dwe're, "]
+
+
+def test_control_characters_have_ids_of_their_own(documents, exact):
+    own = packing.WordIds(PATH)
+    texts = CONTROLS + ["ab" + chr(c) + "cd" for c in range(0x3100)]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.ids(texts)] == [exact(t) for t in texts]
+    rows = list(enumerate(CONTROLS))
+    assert {(r.doc_id, r.length) for r in packing.pack(documents(rows), PATH).collect()} == {(i, len(exact(t)) + 1) for i, t in rows}
+    assert {tuple(r) for r in separators.document_token_counts(documents(rows), PATH).collect()} == {(i, len(exact(t))) for i, t in rows}

@@ -136,6 +136,16 @@ def _(L):
     return T.stabilization_curve(L.nights.filter("in_quality"), "patient_id", KEY, "odi_3", _KS, 5, 5)
 
 
+#: Replicates, night counts and least nights of the reference; too slow for a DuckDB twin.
+_REPLICATES = 1000
+_ALL_KS, _LEAST_NIGHTS = (1, 2, 3, 5, 7, 10, 14), 14
+
+
+@query("stabilization_curve_full")
+def _(L):
+    return T.stabilization_curve(L.nights.filter("in_quality"), "patient_id", KEY, "odi_3", _ALL_KS, _REPLICATES, _LEAST_NIGHTS)
+
+
 _HASH = "CAST(CAST('0x' || substr(md5(rep || '|' || slot), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0"
 
 
@@ -148,9 +158,14 @@ def _(L):
     return T.bootstrap_icc(L.nights.filter("in_quality"), "patient_id", "odi_3", 20)
 
 
+@query("bootstrap_icc_cv_full")
+def _(L):
+    return T.bootstrap_icc(L.nights.filter("in_quality"), "patient_id", "odi_3", _REPLICATES)
+
+
 @query("bootstrap_median_ci")
 def _(L):
-    return T.bootstrap_median(L.event_states.filter("morphotype_curve is not null"), "morphotype_curve", "drop_pct", 50)
+    return T.bootstrap_median(L.event_states.filter("morphotype_curve is not null"), "morphotype_curve", "drop_pct", _REPLICATES)
 
 
 @query("reclassification", """WITH r AS (SELECT patient_id, avg(odi_3) AS ref FROM ngold0 WHERE in_quality GROUP BY patient_id),

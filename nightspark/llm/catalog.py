@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nightspark.llm import decontaminate, licenses, lines, near, packing, preferences, quality, scoring, separators, urls
+from nightspark.llm import decontaminate, licenses, lines, near, packing, preferences, quality, scoring, separators, urls, whitening
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -44,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "op8_license_scan": licenses.op8_license_scan,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_preference_formatting": preferences.op10_preference_formatting,
+        "op13_whitening": whitening.op13_whitening,
     }.items()
 }
 ORACLE: dict[str, str] = {

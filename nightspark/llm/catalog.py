@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from nightspark.llm import (
-    alignment, decontaminate, licenses, lines, near, packing, preferences, quality, scoring, separators, urls, whitening,
+    alignment, decontaminate, licenses, lines, near, packing, preferences, quality, repeats, scoring, separators, urls, whitening,
 )
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -46,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "op8_license_scan": licenses.op8_license_scan,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_preference_formatting": preferences.op10_preference_formatting,
+        "op11_suffix_dedup": repeats.op11_suffix_dedup,
         "op12_tokenizer_alignment": alignment.op12_tokenizer_alignment,
         "op13_whitening": whitening.op13_whitening,
     }.items()

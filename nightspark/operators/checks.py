@@ -255,8 +255,9 @@ def stale_records(inputs: DataFrame, outputs: DataFrame, fingerprint: str) -> Da
 
 def model_fingerprint(centroids: DataFrame) -> DataFrame:
     """16 hex digits over the sorted centroid values (K x features short rows)."""
-    text = F.concat_ws("|", F.sort_array(F.collect_list(F.concat_ws(":", "scale", "cluster", "feature", F.round("z", 9).cast("string")))))
-    return centroids.agg(F.substring(F.sha2(text, 256), 1, 16).alias("fingerprint"))
+    from nightspark.operators.store import fingerprint_column
+
+    return centroids.agg(fingerprint_column(F.col("scale"), F.col("cluster"), F.col("feature"), F.col("z")).alias("fingerprint"))
 
 
 def representative_nights(nights: DataFrame, outliers: DataFrame, flagged: DataFrame, min_tst_s: float, seed: int = 42) -> DataFrame:

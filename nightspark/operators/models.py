@@ -1,67 +1,28 @@
-"""Training and application with pyspark.ml.
+"""Components, pipelines and scores of models; folds are fitted in ``folds`` and ``trees``, clusters in ``lloyd``.
 
-Rows stay distributed; only fitted parameters (centroids, coefficients, one
-row of metrics per fold) reach the driver.
+Rows stay distributed; only fitted parameters and rows of metrics reach the
+driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from inspect import signature
-from multiprocessing.pool import ThreadPool
+from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nightspark.operators import labels as LB
-from nightspark.operators.ordering import stable
+from nightspark.operators import folds
 from nightspark.operators.ranks import with_scalars
-from nightspark.operators.stats import confusion_metrics, davies_bouldin, roc_auc
-
-
-
-def z_vectors(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Complete rows as z-scored ``features`` vectors (population std)."""
-    mean, std = LB.fit_zscore(df, features)
-    rows = df.dropna(subset=list(features)).select(*keep, *[
-        c.alias(f) for f, c in zip(features, LB.apply_zscore(features, mean, std))])
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
-
-
-def fit_kmeans(vectors: DataFrame, k: int, seed: int = 42, restarts: int = 10, max_iter: int = 100) -> KMeansModel:
-    """Best of ``restarts`` seeds by training cost."""
-    best = None
-    for i in range(restarts):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(vectors)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
-
-
-def silhouette(labelled: DataFrame, prediction: str = "prediction") -> float:
-    """Squared-Euclidean silhouette over all rows."""
-    return ClusteringEvaluator(predictionCol=prediction).evaluate(labelled)
-
-
-def kmeans_sweep(vectors: DataFrame, features: Sequence[str], ks: Sequence[int], restarts: int = 1) -> DataFrame:
-    """(k, inertia, silhouette, davies_bouldin) per k."""
-    rows = []
-    for k in ks:
-        model = fit_kmeans(vectors, k, restarts=restarts)
-        out = model.transform(vectors)
-        db = davies_bouldin(out, "prediction", features).first()[0]
-        rows.append((k, float(model.summary.trainingCost), float(silhouette(out)), float(db)))
-    return vectors.sparkSession.createDataFrame(rows, "k long, inertia double, silhouette double, davies_bouldin double")
+from nightspark.operators.stats import average_precision, confusion_metrics, roc_auc, youden_threshold
 
 
 def choose_k(sweep: DataFrame) -> DataFrame:
     """k with the largest silhouette - 0.5 * min-max scaled Davies-Bouldin."""
+    sweep = sweep.filter("silhouette is not null and davies_bouldin is not null")
     span = sweep.agg(F.min("davies_bouldin").alias("_lo"), F.max("davies_bouldin").alias("_hi"))
     scaled = F.coalesce((F.col("davies_bouldin") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)), F.lit(0.0))
     scored = with_scalars(sweep, span).withColumn("_s", F.col("silhouette") - 0.5 * scaled)
@@ -85,24 +46,6 @@ def best_assignment(counts: dict[tuple[int, int], int], k: int) -> dict[int, int
     return dict(enumerate(best[(1 << k) - 1][1]))
 
 
-def bootstrap_agreement(vectors: DataFrame, reference: str, k: int, runs: int, fraction: float = 0.8) -> DataFrame:
-    """Agreement (%) of refits on hash samples with the reference labels.
-
-    Labels are aligned on the K x K count table of each run.
-    """
-    spark = vectors.sparkSession
-    rows = []
-    for run in range(runs):
-        sample = vectors.filter(F.pmod(F.xxhash64(F.lit(run), "features"), F.lit(1000)) < int(fraction * 1000))
-        model = KMeans(k=k, seed=run).fit(sample)
-        table = model.transform(sample).groupBy("prediction", reference).agg(F.count(F.lit(1)).alias("n")).collect()
-        counts = {(r["prediction"], r[reference]): r["n"] for r in table}
-        mapping = best_assignment(counts, k)
-        agree = sum(n for (a, b), n in counts.items() if mapping[a] == b)
-        rows.append((run, 100.0 * agree / max(sum(counts.values()), 1)))
-    return spark.createDataFrame(rows, "run long, agreement_pct double")
-
-
 def pca_scores(df: DataFrame, features: Sequence[str], k: int, keep: Sequence[str]) -> tuple[DataFrame, list[float]]:
     """Component scores of standardized complete rows, and explained variance."""
     rows = VectorAssembler(inputCols=list(features), outputCol="_v").transform(df.dropna(subset=list(features)).select(*keep, *features))
@@ -113,20 +56,16 @@ def pca_scores(df: DataFrame, features: Sequence[str], k: int, keep: Sequence[st
     return out, [float(v) for v in model.explainedVariance]
 
 
-def night_phenotypes(nights: DataFrame, features: Sequence[str], by: str, keep: Sequence[str], k: int = 3) -> DataFrame:
-    """KMeans phenotypes, named 0..k-1 by the cluster median of ``by``."""
-    from nightspark.operators.ranks import exact_percentiles
-
-    vectors = stable(z_vectors(nights, features, keep))
-    out = fit_kmeans(vectors, k, restarts=3).transform(vectors)
-    mid = exact_percentiles(out, ["prediction"], [by], {"m": 0.5})
-    # k rows: the position of each cluster among the k medians
-    order = mid.agg(F.array_sort(F.collect_list(F.struct(F.col(f"{by}_m"), F.col("prediction")))).alias("_o"))
-    rank = F.array_position(F.transform("_o", lambda x: x["prediction"]), F.col("prediction")) - 1
-    return with_scalars(out.select(*keep, "prediction"), order).select(*keep, rank.alias("phenotype"))
-
-
-# --- out-of-group evaluation --------------------------------------------------
+def pca_loadings(df: DataFrame, features: Sequence[str], k: int) -> DataFrame:
+    """(component, feature, loading, explained) of standardized complete rows; a component's sign is that of its largest loading."""
+    rows = VectorAssembler(inputCols=list(features), outputCol="_v").transform(df.dropna(subset=list(features)).select(*features))
+    scaled = StandardScaler(withMean=True, withStd=True, inputCol="_v", outputCol="_s").fit(rows).transform(rows)
+    model = PCA(k=min(k, len(features)), inputCol="_s", outputCol="_p").fit(scaled)
+    out = []
+    for i, column in enumerate(model.pc.toArray().T):
+        sign = 1.0 if column[abs(column).argmax()] >= 0 else -1.0
+        out += [(i + 1, f, float(sign * v), float(model.explainedVariance[i])) for f, v in zip(features, column, strict=True)]
+    return df.sparkSession.createDataFrame(out, "component long, feature string, loading double, explained double")
 
 
 def balanced_weights(train: DataFrame, label: str) -> DataFrame:
@@ -158,68 +97,6 @@ def logistic(label: str, rows: int = 0) -> LogisticRegression:
     return LogisticRegression(featuresCol="features", labelCol=label, weightCol="_w", maxIter=100, regParam=1.0 / rows if rows else 1e-4)
 
 
-def boosted(label: str, rounds: int = 300, depth: int = 5) -> GBTClassifier:
-    return GBTClassifier(featuresCol="features", labelCol=label, weightCol="_w", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=42)
-
-
-def forest(label: str, trees: int = 300, depth: int = 15) -> RandomForestClassifier:
-    return RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="_w", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=42)
-
-
-def with_folds(df: DataFrame, owner: str, folds: int | None) -> tuple[DataFrame, list]:
-    """``_fold`` per row: the owner itself, or one of ``folds`` owner groups.
-
-    Every owner's rows stay in one fold, so each row is scored by a model that
-    never saw its owner.  One fold is one fit, so the list of folds is as long
-    as the list of models.
-    """
-    if folds:
-        return df.withColumn("_fold", F.pmod(F.xxhash64(owner), F.lit(folds))), list(range(folds))
-    return df.withColumn("_fold", F.col(owner)), sorted(r[0] for r in df.filter(F.col(owner).isNotNull()).select(owner).distinct().collect())
-
-
-def out_of_fold(
-    df: DataFrame, features: Sequence[str], label: str, owner: str, keep: Sequence[str],
-    make: Callable[..., object], folds: int | None = None, scale: bool = True, parallelism: int = 4,
-) -> tuple[DataFrame, list]:
-    """Out-of-fold class probabilities keyed by ``keep``, and the fold models.
-
-    ``fold_status`` is "fitted", or "one_class" where the other folds hold one
-    class only: its rows then get that class with probability 1.  ``make`` takes
-    the label column and, if it wants, the number of training rows.
-    """
-    cols = list(dict.fromkeys([*keep, owner, *features]))
-    data = df.select(*cols, F.col(label).cast("double").alias("_label")).withColumns({f: F.col(f).cast("double") for f in features})
-    data, names = with_folds(data, owner, folds)
-    data = stable(data)
-    counts = data.filter("_label IS NOT NULL").groupBy("_fold", "_label").agg(F.count(F.lit(1)).alias("n")).collect()
-    labels = sorted({r["_label"] for r in counts})
-    width = int(labels[-1]) + 1 if labels else 1
-    shown = list(dict.fromkeys([*keep, owner]))
-    wants_rows = "rows" in signature(make).parameters
-
-    def one(name):
-        rows = sum(r["n"] for r in counts if r["_fold"] != name)
-        seen = sorted({r["_label"] for r in counts if r["_fold"] != name})
-        held = data.filter(F.col("_fold") == name)
-        if len(seen) < 2:
-            only = int(seen[0]) if seen else None
-            constant = F.array(*[F.lit(float(k == only) if only is not None else None).cast("double") for k in range(max(width, 2))])
-            return held.select(*shown, "_label", F.lit(only).cast("double").alias("prediction"), constant.alias("probability"),
-                               F.lit("one_class").alias("fold_status")), None
-        train = balanced_weights(data.filter(F.col("_fold") != name), "_label")
-        model = pipeline(features, make("_label", rows=rows) if wants_rows else make("_label"), scale).fit(train)
-        return model.transform(held).select(
-            *shown, "_label", "prediction", vector_to_array("probability").alias("probability"), F.lit("fitted").alias("fold_status")), model
-
-    with ThreadPool(parallelism) as pool:
-        done = pool.map(one, names)
-    out = data.limit(0).select(*shown, "_label", F.lit(0.0).alias("prediction"), F.array().cast("array<double>").alias("probability"), F.lit("").alias("fold_status"))
-    for scored, _ in done:
-        out = out.unionByName(scored)
-    return stable(out), [m for _, m in done if m is not None]
-
-
 def fold_scores(predictions: DataFrame, owner: str) -> DataFrame:
     """AUC per held-out owner beside its rows and positives."""
     p = predictions.withColumn("score", F.round(F.col("probability")[1], 9))
@@ -231,21 +108,23 @@ def multiclass_scores(predictions: DataFrame) -> DataFrame:
     return confusion_metrics(predictions, "_label", "prediction")
 
 
-def feature_importance(models: Sequence[PipelineModel], features: Sequence[str], spark) -> DataFrame:
-    """Mean and sd of importances over fold models (features x folds numbers)."""
-    rows = [(f, float(v)) for m in models for f, v in zip(features, m.stages[-1].featureImportances.toArray())]
-    return spark.createDataFrame(rows, "feature string, importance double").groupBy("feature").agg(
-        F.avg("importance").alias("mean"), F.stddev_samp("importance").alias("sd"))
+def horizon_scores(predictions: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Per group: rows, positives, prevalence, AUC, average precision, Youden's threshold."""
+    p = predictions.filter(F.col("_label").isNotNull() & F.col("probability").isNotNull()).withColumn("score", F.round(F.col("probability")[1], 9))
+    n = p.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.sum("_label").cast("long").alias("n_pos"), F.avg("_label").alias("prevalence"))
+    out = n.join(roc_auc(p, groups, "score", "_label"), list(groups)).join(average_precision(p, groups, "score", "_label"), list(groups))
+    return out.join(youden_threshold(p, groups, "score", "_label"), list(groups))
 
 
-def ablation(df: DataFrame, groups: dict[str, Sequence[str]], label: str, owner: str, keep: Sequence[str], make, folds: int | None) -> DataFrame:
-    """Overall AUC of the same evaluation per feature group."""
+def ablation(df: DataFrame, groups: dict[str, Sequence[str]], labels: Sequence[str], owner: str, keep: Sequence[str]) -> DataFrame:
+    """Overall AUC of the same leave-one-owner-out logistic evaluation per feature group and label."""
     out = None
-    for name, features in groups.items():
-        p, _ = out_of_fold(df, features, label, owner, keep, make, folds)
-        auc = roc_auc(p.withColumn("score", F.round(F.col("probability")[1], 9)), [], "score", "_label")
-        one = auc.select(F.lit(name).alias("features"), F.lit(len(features)).cast("long").alias("n_features"), "auc")
-        out = one if out is None else out.union(one)
+    for label in labels:
+        for name, features in groups.items():
+            p, _ = folds.out_of_fold(df, features, label, owner, keep)
+            auc = roc_auc(p.filter("_label is not null").withColumn("score", F.round(F.col("probability")[1], 9)), [], "score", "_label")
+            one = auc.select(F.lit(label).alias("label"), F.lit(name).alias("features"), F.lit(len(features)).cast("long").alias("n_features"), "auc")
+            out = one if out is None else out.union(one)
     return out
 
 

@@ -83,12 +83,13 @@ class Tree:
         self.seed = seed
         self.feature, self.cut, self.left, self.right = [-1], [0], [0], [0]
         self.value: list[np.ndarray] = [np.zeros(width)]
+        self.gain = [0.0]
         self.name = [1]
         self.front = [0]
 
     def frozen(self) -> tuple[np.ndarray, ...]:
         return (np.array(self.feature, np.int16), np.array(self.cut, np.int16), np.array(self.left, np.int32),
-                np.array(self.right, np.int32), np.array(self.value, np.float64))
+                np.array(self.right, np.int32), np.array(self.value, np.float64), np.array(self.gain, np.float64))
 
     def allowed(self, features: int, growth: Growth) -> np.ndarray:
         """Features open to each node of the front."""
@@ -102,12 +103,12 @@ class Tree:
     def grow(self, splits: Splits, growth: Growth) -> None:
         """Split the front; its children are the next front."""
         front = []
-        for i, feature, cut, total, left in zip(self.front, splits.feature, splits.cut, splits.total, splits.left, strict=True):
+        for i, feature, cut, total, left, gain in zip(self.front, splits.feature, splits.cut, splits.total, splits.left, splits.gain, strict=True):
             if i == 0:
                 self.value[0] = leaf_value(total, growth)
             if feature < 0:
                 continue
-            self.feature[i], self.cut[i] = int(feature), int(cut)
+            self.feature[i], self.cut[i], self.gain[i] = int(feature), int(cut), float(gain)
             for side, sums, bit in ((self.left, left, 0), (self.right, total - left, 1)):
                 side[i] = len(self.feature)
                 front.append(len(self.feature))
@@ -115,6 +116,7 @@ class Tree:
                 self.cut.append(0)
                 self.left.append(0)
                 self.right.append(0)
+                self.gain.append(0.0)
                 self.name.append(2 * self.name[i] + bit)
                 self.value.append(leaf_value(sums, growth))
         self.front = front
@@ -129,7 +131,7 @@ def leaf_value(sums: np.ndarray, growth: Growth) -> np.ndarray:
 
 def walk(tree: tuple[np.ndarray, ...], codes: np.ndarray) -> np.ndarray:
     """Node in which each row ends."""
-    feature, cut, left, right, _ = tree
+    feature, cut, left, right = tree[:4]
     at = np.zeros(len(codes), np.int32)
     live = np.flatnonzero(feature[at] >= 0)
     while len(live):
@@ -141,12 +143,13 @@ def walk(tree: tuple[np.ndarray, ...], codes: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Splits:
-    """Per node of a front: feature (-1: none), cut, sums of its rows and of those that go left."""
+    """Per node of a front: feature (-1: none), cut, sums of its rows and of those that go left, gain."""
 
     feature: np.ndarray
     cut: np.ndarray
     total: np.ndarray
     left: np.ndarray
+    gain: np.ndarray
 
 
 def histogram(codes: np.ndarray, slot: np.ndarray, sums: np.ndarray, nodes: int, bins: int) -> np.ndarray:
@@ -184,7 +187,7 @@ def best_splits(hist: np.ndarray, allowed: np.ndarray, growth: Growth) -> Splits
     width = gain.shape[2]
     feature, cut = pick // width, pick % width
     rows = np.arange(len(gain))
-    return Splits(np.where(found, feature, -1), cut, total, left[rows, feature, cut])
+    return Splits(np.where(found, feature, -1), cut, total, left[rows, feature, cut], top)
 
 
 @dataclass(frozen=True)
@@ -489,13 +492,17 @@ def scored(ready: DataFrame, cols: list[str], y: list[str], labels: Sequence[str
     return ready.mapInArrow(work, f"{kinds}, target string, _label double, prediction double, probability array<double>, fold_status string")
 
 
-def importances(spark, trees: dict[tuple, list[tuple]], features: Sequence[str], groups: dict[str, Sequence[str]] | None = None) -> DataFrame:
-    """(feature, mean, sd) over folds of the share of splits that use it; with ``groups``, of their sums."""
+def importances(spark, trees: dict[tuple, list[tuple]], features: Sequence[str], groups: dict[str, Sequence[str]] | None = None, by_gain: bool = True) -> DataFrame:
+    """(feature, mean, sd) over folds: a feature's share of the gain of each tree, or of its splits; with ``groups``, of their sums."""
     rows = []
     for (_, fold), each in trees.items():
-        used = np.concatenate([t[0][t[0] >= 0] for t in each]) if each else np.zeros(0, int)
-        share = np.bincount(used, minlength=len(features)) / max(1, len(used))
-        named = dict(zip(features, share, strict=True))
+        shares = []
+        for t in each:
+            inner = t[0] >= 0
+            used = np.bincount(t[0][inner], t[5][inner] if by_gain else None, len(features))
+            if used.sum() > 0:
+                shares.append(used / used.sum())
+        named = dict(zip(features, np.mean(shares, axis=0) if shares else np.zeros(len(features)), strict=True))
         for name, members in (groups or {f: [f] for f in features}).items():
             rows.append((str(fold), name, float(sum(named[f] for f in members))))
     df = spark.createDataFrame(rows, "fold string, feature string, share double")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from nightspark import config as C
 from nightspark.operators import checks as K
-from nightspark.plans import fixtures as X
 from nightspark.plans.analytic_queries import rank_sql
 from nightspark.plans.oracle import cte
 from nightspark.plans.registry import d6, query
@@ -16,20 +15,14 @@ KEY = "night_record_id"
 
 
 def centroid_table(L):
-    """(scale, cluster, feature, z, value): K x features rows per scale."""
-    rows = []
-    for s in C.STATE_K:
-        m = L.state_model(s)
-        for k, (z, v) in enumerate(zip(m.centroids, m.original_space())):
-            rows += [(s, k, f, float(a), float(b)) for f, a, b in zip(m.features, z, v)]
-    return L.spark.createDataFrame(rows, "scale string, cluster long, feature string, z double, value double")
+    """(scale, cluster, feature, z, value) of the stored model: K x features rows per scale."""
+    return L.state_store.table(L.spark).select("scale", "cluster", "feature", "z", "value")
 
 
 cte("cen AS MATERIALIZED (" + " UNION ALL ".join(
-    f"SELECT '{s}' AS scale, v.cluster, v.feature, v.z, CASE v.feature " + " ".join(f"WHEN '{f}' THEN v.z * z.s_{f} + z.m_{f}" for f in C.WINDOW_FEATURES)
-    + f" END AS value FROM z_{s} z CROSS JOIN (VALUES " + ", ".join(
-        f"(CAST({k} AS BIGINT), '{f}', CAST({z} AS DOUBLE))" for k, row in enumerate(X.STATE_CENTROIDS[s]) for f, z in zip(C.WINDOW_FEATURES, row))
-    + ") v(cluster, feature, z)" for s in C.STATE_K) + ")")
+    f"SELECT '{s}' AS scale, cluster, u.feature, u.z, u.value, u.mean, u.std, n AS n_training FROM (SELECT cluster, n, unnest(l) AS u FROM (SELECT CAST(cluster_int AS BIGINT) AS cluster, count(*) AS n, ["
+    + ", ".join(f"{{'feature': '{f}', 'z': avg((CAST(w.{f} AS DOUBLE) - z.m_{f}) / z.s_{f}), 'value': avg(CAST(w.{f} AS DOUBLE)), 'mean': max(z.m_{f}), 'std': max(z.s_{f})}}" for f in C.WINDOW_FEATURES)
+    + f"] AS l FROM st_{s} w CROSS JOIN z_{s} z WHERE cluster_int >= 0 AND frac_wake <= 0.5 AND coverage >= 0.5 GROUP BY cluster_int))" for s in C.STATE_K) + ")")
 _B2 = {s: f"sum(t_end_s - t_start_s) FILTER (WHERE scale = '{s}') / nullif(max(t_end_s) FILTER (WHERE scale = '{s}'), 0)" for s in C.STATE_K}
 
 
@@ -191,7 +184,8 @@ def _(L):
     return K.stale_records(inputs, outputs, "current")
 
 
-@query("model_fingerprint")
+@query("model_fingerprint", """SELECT substr(sha256(string_agg(t, '|' ORDER BY t)), 1, 16) AS fingerprint FROM
+  (SELECT concat_ws(':', scale, CAST(cluster AS VARCHAR), feature, CAST(CAST(CASE WHEN z >= 0 THEN floor(z * 10000 + 0.5) ELSE ceil(z * 10000 - 0.5) END AS BIGINT) AS VARCHAR)) AS t FROM cen)""")
 def _(L):
     return K.model_fingerprint(centroid_table(L))
 

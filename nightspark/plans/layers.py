@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from nightspark import config as C
 from nightspark.config import Layout
-from nightspark.operators import cohorts, detect, indices, labels, qc, windows
-from nightspark.operators.ordering import shared_dir
+from nightspark.operators import cohorts, detect, indices, labels, qc, store, windows
+from nightspark.operators.ordering import shared_dir, stable
 from nightspark.plans import fixtures as X
 from nightspark.sources import adapter as A
 
@@ -117,6 +117,21 @@ class Layers:
 
         return self._layer("states", build, "scale")
 
+    @cached_property
+    def state_store(self) -> store.Stored:
+        """Centroids fitted as means of the labelled training windows, written to the store and read from it."""
+        models, counts = {}, {}
+        eligible = windows.training_windows(F.col("frac_wake"), F.col("coverage"))
+        for s in C.STATE_K:
+            seed = self.state_model(s)
+            rows = labels.assign_nearest(self.windows.filter(F.col("scale") == s).filter(eligible), seed)
+            # cut between labels and means: together they outgrow one generated method
+            models[s], counts[s] = store.group_means(stable(rows.select("cluster_int", *C.WINDOW_FEATURES)), seed)
+        held = store.Store(self.spark, f"{self.root}/models", "states")
+        held.save(models, counts, {"snapshot": store.snapshot(self.nights_of, "night_record_id", "patient_id"), "model_version": "v1",
+                                   "training_mask": {"frac_wake_max": 0.5, "coverage_min": 0.5}})
+        return held.load()
+
     @property
     def device(self) -> DataFrame:
         """Stand-in device indices: own value times a per-user factor."""

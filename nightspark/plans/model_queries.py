@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from nightspark import config as C
 from nightspark.functions.scalars import index_of, risk_label, risk_score
 from nightspark.operators import analytics as N
+from nightspark.operators import folds as D
 from nightspark.operators import labels as LB
+from nightspark.operators import lloyd as V
 from nightspark.operators import models as M
 from nightspark.operators import series as S
+from nightspark.operators import trees as T
 from nightspark.operators.ordering import stable
 from nightspark.operators.ranks import exact_percentiles, with_scalars
-from nightspark.operators.windows import training_windows
+from nightspark.operators.store import Store, snapshot
+from nightspark.operators.windows import training_events, training_windows
 from nightspark.plans.analytic_queries import night_features
 from nightspark.plans.io_queries import fresh_path
 from nightspark.plans.registry import query
@@ -25,9 +31,63 @@ WINDOW_FEATURES = ("state_s_enc", "state_m_enc", "state_l_enc", "window_position
                    "frac_severe_10min", "time_since_last_ev", "time_since_last_severe", "n_severe_sofar", "ci_sofar")
 
 
-def training_vectors(L, scale: str = "m"):
+class Clustering:
+    """Rows of one clustering, its features, K and restarts; fits are made once, all K and starts together."""
+
+    def __init__(self, rows, features, key, k: int | None, restarts: int = 10, sweep: bool = True) -> None:
+        self.rows, self.features, self.key, self.fixed, self.restarts, self.sweeps = rows, features, key, k, restarts, sweep
+
+    @cached_property
+    def fits(self):
+        return V.fit_many(self.rows, range(2, 11) if self.sweeps else [self.fixed], self.restarts)
+
+    @cached_property
+    def rated(self):
+        return V.measures(self.rows, [self.fits[k] for k in sorted(self.fits)])
+
+    @cached_property
+    def k(self) -> int:
+        """The given K, or the one the sweep prefers."""
+        if self.fixed:
+            return self.fixed
+        spark = self.rows.sparkSession
+        return M.choose_k(spark.createDataFrame(sweep_rows("", self), SWEEP)).first().k or 2
+
+    @property
+    def fit(self):
+        return self.fits[self.k]
+
+
+SWEEP = "model string, k long, inertia double, silhouette double, davies_bouldin double"
+
+
+def sweep_rows(name: str, c: Clustering) -> list[tuple]:
+    return [(name, r["k"], r["inertia"], r["silhouette"], r["davies_bouldin"]) for r in c.rated]
+
+
+def state_scaling(L, scale: str):
     w = L.windows.filter(F.col("scale") == scale).filter(training_windows(F.col("frac_wake"), F.col("coverage")))
-    return stable(M.z_vectors(w, C.WINDOW_FEATURES, [KEY, "window_idx"]))
+    mean, std = LB.fit_zscore(w, C.WINDOW_FEATURES)
+    return w, mean, std
+
+
+def clusterings(L) -> dict[str, Clustering]:
+    """Windows of the three scales, events by their features (K by the sweep), events by their curves."""
+    if "_clusterings" not in L.__dict__:
+        out = {}
+        for scale, k in C.STATE_K.items():
+            w, mean, std = state_scaling(L, scale)
+            out[scale] = Clustering(V.prepared(w, LB.apply_zscore(C.WINDOW_FEATURES, mean, std), IDS), C.WINDOW_FEATURES, IDS, k)
+        e = L.events.filter(training_events(F.col("in_sleep"), F.col("near_gap"), F.col("meets_3pct")))
+        mean, std = LB.fit_zscore(e, C.EVENT_FEATURES)
+        ids = [KEY, "start_idx"]
+        out["events"] = Clustering(V.prepared(e, LB.apply_zscore(C.EVENT_FEATURES, mean, std), ids), C.EVENT_FEATURES, ids, None)
+        d = stable(L.events.filter(F.col("duration_s") <= L.p.curve_max_s).select(
+            *ids, LB.delta_curve(F.col("spo2_curve"), F.col("baseline_spo2")).alias("_d")))
+        points = [F.get("_d", F.lit(i)) for i in range(C.CURVE_POINTS)]
+        out["curves"] = Clustering(V.prepared(d, points, ids), tuple(f"p{i}" for i in range(C.CURVE_POINTS)), ids, 5, restarts=20, sweep=False)
+        L.__dict__["_clusterings"] = out
+    return L.__dict__["_clusterings"]
 
 
 def event_dataset(L):
@@ -60,45 +120,74 @@ def night_dataset(L):
 
 @query("kmeans_sweep")
 def _(L):
-    return M.kmeans_sweep(training_vectors(L), C.WINDOW_FEATURES, range(2, 11))
+    return L.spark.createDataFrame([r for n, c in clusterings(L).items() if c.sweeps for r in sweep_rows(n, c)], SWEEP)
 
 
 @query("choose_k")
 def _(L):
-    return M.choose_k(M.kmeans_sweep(training_vectors(L, "l"), C.WINDOW_FEATURES, range(2, 11)))
-
-
-def scale_model(L, scale: str):
-    """(vectors, fitted model) of a scale, with all restarts; fitted once."""
-    held = L.__dict__.setdefault("_kmeans", {})
-    if scale not in held:
-        v = training_vectors(L, scale)
-        held[scale] = (v, M.fit_kmeans(v, C.STATE_K[scale]))
-    return held[scale]
-
-
-def per_scale(L, make):
-    """``make(clustered vectors, scale)`` of the three scales, one below the other."""
-    out = None
-    for scale in C.STATE_K:
-        v, model = scale_model(L, scale)
-        one = make(model.transform(v), scale).withColumn("scale", F.lit(scale))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The K that each sweep prefers, beside the K in use."""
+    rows = []
+    for n, c in clusterings(L).items():
+        if c.sweeps:
+            best = M.choose_k(L.spark.createDataFrame(sweep_rows(n, c), SWEEP)).first().k
+            rows.append((n, best, c.k))
+    return L.spark.createDataFrame(rows, "model string, k long, k_used long")
 
 
 @query("fit_kmeans")
 def _(L):
-    return per_scale(L, lambda v, scale: v.groupBy("prediction").agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f) for f in C.WINDOW_FEATURES]))
+    """Centres of all models (z-space; curves: differences to the baseline) with their sizes."""
+    rows = [(n, j, int(size), f, float(v)) for n, c in clusterings(L).items()
+            for j, (centre, size) in enumerate(zip(c.fit.centres, c.fit.counts, strict=True)) for f, v in zip(c.features, centre, strict=True)]
+    return L.spark.createDataFrame(rows, "model string, cluster long, n long, feature string, z double")
 
 
 @query("silhouette")
 def _(L):
-    def one(out, scale):
-        return out.agg(F.count(F.lit(1)).alias("n")).withColumn("silhouette", F.lit(M.silhouette(out)))
+    rows = []
+    for n, c in clusterings(L).items():
+        rated = {r["k"]: r for r in c.rated}
+        if c.k in rated:
+            rows.append((n, c.k, int(c.fit.counts.sum()), rated[c.k]["silhouette"]))
+    return L.spark.createDataFrame(rows, "model string, k long, n long, silhouette double")
+
+
+def fitted_store(L):
+    """The K-means models of the three scales in the store, read back."""
+    if "_kmeans_store" not in L.__dict__:
+        models, counts = {}, {}
+        for scale in C.STATE_K:
+            c = clusterings(L)[scale]
+            _, mean, std = state_scaling(L, scale)
+            names = tuple(f"{C.STATE_PREFIX[scale]}{j}" for j in range(len(c.fit.centres)))
+            models[scale] = LB.CentroidModel(C.WINDOW_FEATURES, mean, std, tuple(tuple(map(float, v)) for v in c.fit.centres), names)
+            counts[scale] = tuple(int(v) for v in c.fit.counts)
+        held = Store(L.spark, f"{L.root}/models", "kmeans")
+        held.save(models, counts, {"model_version": "v1", "random_state": 42, "snapshot": snapshot(L.nights_of, KEY, "patient_id"),
+                                   "inertia": {s: clusterings(L)[s].fit.inertia for s in C.STATE_K}})
+        L.__dict__["_kmeans_store"] = held.load()
+    return L.__dict__["_kmeans_store"]
+
+
+@query("apply_fitted_states")
+def _(L):
+    """All windows labelled by the stored K-means models."""
+    return LB.label_windows(L.windows, {s: m for s, m in fitted_store(L).models.items() if m.centroids}, L.nights_of, L.night_qc)
 
-    return per_scale(L, one)
+
+@query("apply_fitted_events")
+def _(L):
+    """Training events labelled by the fitted event and curve models, curve clusters named C1 (mild) to C5 by their depth."""
+    c = clusterings(L)
+    depth = sorted(range(len(c["curves"].fit.centres)), key=lambda j: -c["curves"].fit.centres[j].min())
+    names = {j: f"C{i + 1}" for i, j in enumerate(depth)}
+    shape = V.assigned(c["curves"].rows, c["curves"].fit, c["curves"].key)
+    curve = F.coalesce(*[F.when(F.col("cluster") == j, n) for j, n in names.items()], F.lit(None).cast("string"))
+    shape = shape.select(*c["curves"].key, curve.alias("morphotype_curve"), F.col("distance").alias("curve_dist"))
+    scalar = V.assigned(c["events"].rows, c["events"].fit, c["events"].key)
+    letters = F.array(*[F.lit(x) for x in C.GREEK])
+    scalar = scalar.select(*c["events"].key, F.get(letters, F.col("cluster")).alias("morphotype"), F.col("distance").alias("morphotype_dist"))
+    return scalar.join(shape, c["events"].key, "full_outer")
 
 
 @query("order_clusters", """WITH m AS (SELECT e.morphotype, p.point, avg(p.spo2 - e.baseline_spo2) AS v FROM curvepts p JOIN ev e ON e.night_record_id = p.night_record_id AND e.start_idx = p.start_idx WHERE e.morphotype IS NOT NULL GROUP BY e.morphotype, p.point)
@@ -113,10 +202,12 @@ def _(L):
 
 @query("bootstrap_cluster_agreement")
 def _(L):
-    def one(v, scale):
-        return M.bootstrap_agreement(stable(v.withColumnRenamed("prediction", "ref")), "ref", C.STATE_K[scale], 10)
+    """Ten refits on 80 % of the rows against each model: agreement of a run (cluster null) and of each cluster."""
+    rows = [(n, *r) for n, c in clusterings(L).items() for r in V.agreement(c.rows, c.fit)]
+    return L.spark.createDataFrame(rows, "model string, run long, cluster long, n long, agreement_pct double")
+
 
-    return per_scale(L, one)
+_PCA = ("odi_3", "mean_ari", "t90_frac", "mean_hr", "sleep_efficiency", "mean_hr_gain", "frac_severe_morpho", "n_transitions_state_m", "entropy_state_m", "coupling_index")
 
 
 @query("pca")
@@ -126,22 +217,63 @@ def _(L):
     return scores.withColumns({f"explained_{i + 1}": F.lit(v) for i, v in enumerate(ratio)})
 
 
+@query("pca_loadings")
+def _(L):
+    """Loadings and explained variance of 2 and of 10 components."""
+    n = stable(night_dataset(L))
+    return M.pca_loadings(n, _PCA[:5], 2).withColumn("components", F.lit(2)).union(M.pca_loadings(n, _PCA, 10).withColumn("components", F.lit(10)))
+
+
+PHENOTYPE = ("frac_state_m_M1", "frac_state_m_M3", "frac_severe_morpho", "mean_ari", "coupling_index", "n_transitions_state_m", "entropy_state_m")
+
+
+def phenotypes(L):
+    """Clusters of nights (K = 3, ten starts), numbered by the cluster median of severe events."""
+    if "_phenotypes" not in L.__dict__:
+        n = stable(night_dataset(L))
+        mean, std = LB.fit_zscore(n, PHENOTYPE)
+        rows = V.prepared(n, LB.apply_zscore(PHENOTYPE, mean, std), [KEY, "frac_severe_morpho"])
+        named = V.assigned(rows, V.fit_many(rows, [3], 10)[3], [KEY, "frac_severe_morpho"])
+        mid = exact_percentiles(named, ["cluster"], ["frac_severe_morpho"], {"m": 0.5})
+        # three rows: the position of each cluster among the medians
+        order = mid.agg(F.array_sort(F.collect_list(F.struct("frac_severe_morpho_m", "cluster"))).alias("_o"))
+        rank = F.array_position(F.transform("_o", lambda x: x["cluster"]), F.col("cluster")) - 1
+        L.__dict__["_phenotypes"] = stable(with_scalars(named, order).select(KEY, rank.alias("phenotype")))
+    return L.__dict__["_phenotypes"]
+
+
 @query("night_phenotypes")
 def _(L):
-    feats = ("frac_state_m_M1", "frac_state_m_M3", "frac_severe_morpho", "mean_ari", "coupling_index", "n_transitions_state_m", "entropy_state_m")
-    return M.night_phenotypes(stable(night_dataset(L)), feats, "frac_severe_morpho", [KEY])
+    return phenotypes(L)
+
+
+def event_folds(L):
+    if "_event_folds" not in L.__dict__:
+        L.__dict__["_event_folds"] = D.out_of_fold(event_dataset(L), EVENT_FEATURES, "is_severe", "patient_id", [KEY, "start_idx"])
+    return L.__dict__["_event_folds"]
 
 
 @query("lopo_logistic")
 def _(L):
-    p, _ = M.out_of_fold(event_dataset(L), EVENT_FEATURES, "is_severe", "patient_id", [KEY, "start_idx"], M.logistic)
-    return M.fold_scores(p, "patient_id")
+    return M.fold_scores(event_folds(L)[0], "patient_id")
+
+
+@query("lopo_coefficients")
+def _(L):
+    """Coefficients of every fold, and of the model over all events (fold null)."""
+    return D.coefficients(L.spark, event_folds(L)[1])
+
+
+def event_trees(L):
+    if "_event_trees" not in L.__dict__:
+        e = event_dataset(L).withColumn("is_severe", F.col("is_severe").cast("int"))
+        L.__dict__["_event_trees"] = T.out_of_fold(e, EVENT_FEATURES, ["is_severe"], "patient_id", [KEY, "start_idx"], T.Growth(trees=300, depth=5))
+    return L.__dict__["_event_trees"]
 
 
 @query("lopo_gbt")
 def _(L):
-    p, _ = M.out_of_fold(event_dataset(L), EVENT_FEATURES, "is_severe", "patient_id", [KEY, "start_idx"], lambda y: M.boosted(y, rounds=30), scale=False)
-    return M.fold_scores(p, "patient_id")
+    return M.fold_scores(event_trees(L)[0], "patient_id")
 
 
 def _graded(L):
@@ -156,10 +288,15 @@ def _graded(L):
 _NIGHT = ("mean_ari", "mean_hr_gain", "frac_severe_morpho", "t90_frac", "mean_hr", "sleep_efficiency", "n_transitions_state_m", "entropy_state_m")
 
 
+_NIGHT_GROUPS = {"reactivity": ("mean_ari", "mean_hr_gain"), "severity": ("frac_severe_morpho", "t90_frac"), "heart": ("mean_hr",),
+                 "sleep": ("sleep_efficiency",), "dynamics": ("n_transitions_state_m", "entropy_state_m")}
+
+
 def forest_folds(L):
-    """(predictions, models) of the night forest, one patient held out at a time; fitted once."""
+    """(predictions, trees) of the night forest, one patient held out at a time; fitted once."""
     if "_forest" not in L.__dict__:
-        L.__dict__["_forest"] = M.out_of_fold(_graded(L), _NIGHT, "y", "patient_id", [KEY], M.forest, scale=False)
+        growth = T.Growth(boosted=False, classes=4, trees=300, depth=15, leaf_rows=2, share=len(_NIGHT) ** 0.5 / len(_NIGHT))
+        L.__dict__["_forest"] = T.out_of_fold(_graded(L), _NIGHT, ["y"], "patient_id", [KEY], growth)
     return L.__dict__["_forest"]
 
 
@@ -170,37 +307,65 @@ def _(L):
 
 @query("feature_importance")
 def _(L):
-    return M.feature_importance(forest_folds(L)[1], _NIGHT, L.spark)
+    """Mean and deviation over folds of gain shares: of features, of groups of them, and of the boosted event model."""
+    forest = forest_folds(L)[1]
+    one = T.importances(L.spark, forest, _NIGHT).withColumn("model", F.lit("night"))
+    two = T.importances(L.spark, forest, _NIGHT, _NIGHT_GROUPS).withColumn("model", F.lit("night groups"))
+    return one.union(two).union(T.importances(L.spark, event_trees(L)[1], EVENT_FEATURES).withColumn("model", F.lit("events")))
+
+
+def night_predictions(L):
+    p, _ = forest_folds(L)
+    return p.select(KEY, F.col("_label").alias("y"), "prediction", (F.col("_label") == F.col("prediction")).alias("correct"), "fold_status",
+                    *[F.get("probability", F.lit(i)).alias(f"p{i}") for i in range(4)])
 
 
 @query("export_night_predictions")
 def _(L):
-    p, _ = forest_folds(L)
-    return p.select(KEY, F.col("_label").alias("y"), "prediction", (F.col("_label") == F.col("prediction")).alias("correct"), "fold_status", *[F.get("probability", F.lit(i)).alias(f"p{i}") for i in range(4)])
+    """Out-of-fold predictions beside the night they belong to, joined by key."""
+    n = L.nights.select(KEY, "user_id", "patient_id", "in_quality", "ahi_3", "tst_s", "sleep_efficiency")
+    return n.join(night_predictions(L), KEY, "left")
 
 
 @query("ablation")
 def _(L):
     groups = {"shape": EVENT_FEATURES[:4], "history": EVENT_FEATURES[4:], "all": EVENT_FEATURES}
-    return M.ablation(event_dataset(L), groups, "is_severe", "patient_id", [KEY, "start_idx"], M.logistic, None)
+    return M.ablation(event_dataset(L), groups, ["is_severe"], "patient_id", [KEY, "start_idx"])
+
+
+def horizons(L) -> list[str]:
+    return [c for c in window_dataset(L).columns if c.startswith("y_")]
 
 
 @query("stacked_comparison")
 def _(L):
     early = ("early_score_mean", "early_score_max", "early_severe_count")
     groups = {"base": WINDOW_FEATURES, "base_early": (*WINDOW_FEATURES, *early), "early": early}
-    return M.ablation(window_dataset(L), groups, "y_10", "patient_id", IDS, M.logistic, None)
+    return M.ablation(window_dataset(L), groups, horizons(L), "patient_id", IDS)
+
+
+def risk(L):
+    """Risk of a severe event within each horizon, by boosted and logistic models that never saw the patient."""
+    if "_risk" not in L.__dict__:
+        data = window_dataset(L).withColumns({y: F.col(y).cast("int") for y in horizons(L)})
+        cols = [*IDS, "patient_id", "target", "_label", "probability", "fold_status"]
+        out = T.out_of_fold(data, WINDOW_FEATURES, horizons(L), "patient_id", IDS, T.Growth(trees=300, depth=5))[0].select(*cols).withColumn("model", F.lit("boosted"))
+        for y in horizons(L):
+            p = D.out_of_fold(data, WINDOW_FEATURES, y, "patient_id", IDS)[0].withColumn("target", F.lit(y))
+            out = out.unionByName(p.select(*cols).withColumn("model", F.lit("logistic")))
+        L.__dict__["_risk"] = stable(out)
+    return L.__dict__["_risk"]
 
 
 @query("window_risk_predictions")
 def _(L):
-    """Risk of a severe event within each horizon, by a model that never saw the patient."""
-    out = None
-    for y in [c for c in window_dataset(L).columns if c.startswith("y_")]:
-        p, _ = M.out_of_fold(window_dataset(L), WINDOW_FEATURES, y, "patient_id", IDS, M.logistic)
-        one = p.select(*IDS, "patient_id", F.lit(y).alias("horizon"), F.col("_label").alias("y"), F.get("probability", F.lit(1)).alias("p_severe"), "fold_status")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return risk(L).select(*IDS, "patient_id", "model", F.col("target").alias("horizon"), F.col("_label").alias("y"), F.get("probability", F.lit(1)).alias("p_severe"), "fold_status")
+
+
+@query("lead_time_scores")
+def _(L):
+    """Per model and horizon: prevalence, AUC, average precision and Youden's threshold over all patients."""
+    return M.horizon_scores(risk(L).withColumnRenamed("target", "horizon"), ["model", "horizon"])
 
 
 def unseen(L, data, features, name: str):
@@ -229,13 +394,8 @@ def _(L):
     return top.select(KEY, "p_mean", "p_night", F.when(F.col("p_mean").isNotNull(), score).alias("risk_score")).withColumn("risk_label", risk_label(F.col("risk_score")))
 
 
-@query("persist_model")
+@query("persist_model", "SELECT scale, cluster, CASE scale " + " ".join(f"WHEN '{s}' THEN '{p}'" for s, p in C.STATE_PREFIX.items())
+       + " END || cluster AS label, feature, r6(z) AS z, r6(value) AS value, r6(mean) AS mean, r6(std) AS std, n_training FROM cen")
 def _(L):
-    """The state model of one scale written and read back as a table."""
-    m = L.state_model("l")
-    rows = [(k, f, float(z), float(mu), float(sd)) for k, c in enumerate(m.centroids) for f, z, mu, sd in zip(m.features, c, m.mean, m.std)]
-    path = fresh_path(L, "state-model")
-    L.spark.createDataFrame(rows, "cluster long, feature string, z double, mean double, std double").write.parquet(path)
-    stored = L.spark.read.parquet(path)
-    size = L.states.filter("scale = 'l'").groupBy(F.col("cluster_int").cast("long").alias("cluster")).agg(F.count(F.lit(1)).alias("n_windows"))
-    return stored.join(size, "cluster", "left")
+    """The stored state model of all scales as it is read back."""
+    return L.state_store.table(L.spark)

@@ -47,7 +47,7 @@ def test_first_split_by_brute_force(spark):
         weight = {c: len(train) / (2 * sum(r[4] == c for r in train)) for c in (0, 1)}
         g = [weight[r[4]] * (0.5 - r[4]) for r in train]
         h = [weight[r[4]] / 4 for r in train]
-        feature, cut, _, _, value = grown["y", out][0]
+        feature, cut, _, _, value, gained = grown["y", out][0]
         edges = trees.edges_of(table(spark, rows), ["a", "b", "c"], 64)
         gains = {}
         for j in range(3):
@@ -58,7 +58,7 @@ def test_first_split_by_brute_force(spark):
                     gains[j, border] = (sum(sum(g[i] for i in s) ** 2 / sum(h[i] for i in s) for s in sides), sides)
         best = max(x[0] for x in gains.values())
         gain, sides = gains[int(feature[0]), int(cut[0])]
-        assert gain == pytest.approx(best)
+        assert gain == pytest.approx(best) and gained[0] == pytest.approx(best - sum(g) ** 2 / sum(h))
         for s, v in zip(sides, value[1:, 0], strict=True):
             assert v == pytest.approx(-growth.rate * sum(g[i] for i in s) / sum(h[i] for i in s))
 

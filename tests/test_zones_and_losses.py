@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nightspark.config import Layout, Params
 from nightspark.functions.scalars import add_seconds, parse_datetime, seconds_between
-from nightspark.operators import analytics, checks, models, qc, series, stats
+from nightspark.operators import analytics, checks, folds, qc, series, stats
 from nightspark.operators.intervals import epoch
 from nightspark.sources import recordings
 
@@ -73,10 +73,10 @@ def test_median_bootstrap_under_ties(spark):
 def test_one_class_folds_keep_their_rows(spark):
     rows = [(i, i % 3, float(i % 7), 1 if i % 3 == 0 else 0) for i in range(60)]
     df = spark.createDataFrame(rows, "k long, owner long, x double, y int")
-    out, fitted = models.out_of_fold(df, ["x"], "y", "owner", ["k"], models.logistic)
+    out, fitted = folds.out_of_fold(df, ["x"], "y", "owner", ["k"])
     got = out.collect()
     # without owner 0 there is one class
-    assert len(got) == 60 and len(fitted) == 2
+    assert len(got) == 60 and (fitted.only_class == -2).sum() == 3
     assert {(r.fold_status, tuple(r.probability)) for r in got if r.owner == 0} == {("one_class", (1.0, 0.0))}
     assert {r.fold_status for r in got if r.owner != 0} == {"fitted"}
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from nightspark import config as C
 from nightspark.operators.intervals import interval_join
 from nightspark.operators.ordering import stable
-from nightspark.operators.ranks import exact_percentiles
+from nightspark.operators.ranks import exact_percentiles, with_scalars
 
 KEY = "night_record_id"
 # --- fixed values: check limits ---
@@ -73,12 +73,13 @@ def dominance(states: DataFrame) -> DataFrame:
 def outlier_share(states: DataFrame) -> DataFrame:
     """Per record: share of windows beyond the scale's overall p95 distance.
 
-    The first pass gives one threshold per scale; it joins back on scale.
+    The first pass gives one threshold per scale; the few of them come back as one map.
     """
     valid = states.filter(F.col("cluster_int") >= 0)
     limit = exact_percentiles(valid, ["scale"], ["dist_to_centroid"], {"p": OUTLIER_PROB})
-    far = (F.col("dist_to_centroid") > F.col("dist_to_centroid_p")).cast("double")
-    per = valid.join(limit, "scale").groupBy(KEY).agg(*[
+    limits = limit.agg(F.map_from_entries(F.collect_list(F.struct("scale", "dist_to_centroid_p"))).alias("_p95"))
+    far = (F.col("dist_to_centroid") > F.try_element_at("_p95", F.col("scale"))).cast("double")
+    per = with_scalars(valid, limits).groupBy(KEY).agg(*[
         F.coalesce(F.avg(F.when(F.col("scale") == s, far)), F.lit(0.0)).alias(f"b4_outlier_frac_{s}") for s in C.STATE_K])
     return per.withColumn("flag_b4", F.greatest(*[F.col(f"b4_outlier_frac_{s}") for s in C.STATE_K]) > OUTLIER_SHARE)
 

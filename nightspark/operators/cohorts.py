@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nightspark.operators.ranks import with_scalars
+
 KEY = "night_record_id"
 
 
@@ -70,8 +72,7 @@ def with_enough_nights(nights: DataFrame, owner: str, minimum: int) -> DataFrame
 def snapshot(ids: DataFrame, name: str) -> DataFrame:
     """The stored form of a cohort: its name and size beside every id."""
     ids = ids.select(KEY).distinct()
-    size = ids.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("cohort"), "n")
-    return ids.withColumn("cohort", F.lit(name)).join(size, "cohort")
+    return with_scalars(ids.withColumn("cohort", F.lit(name)), ids.agg(F.count(F.lit(1)).alias("n")))
 
 
 def clinical_coverage(owners: DataFrame, clinical: DataFrame, owner: str = "patient_id") -> DataFrame:

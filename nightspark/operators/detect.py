@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,19 +18,86 @@ from nightspark.functions.scalars import reactivity_components, reactivity_score
 from nightspark.operators.intervals import near_any, spread_over_chunks
 from nightspark.operators.ordering import stable
 from nightspark.operators.qc import signal_gaps
-from nightspark.operators.scans import framed, next_at_least, run_bounds, running
+from nightspark.operators.scans import next_at_least, run_bounds, running
+from nightspark.operators.workers import visible
 
 
 def rolling_baseline(df: DataFrame, layout: Layout, value: str, rows: int, min_rows: int) -> DataFrame:
     """Median of the last ``rows`` rows, the current one included; null when
-    fewer than ``min_rows`` of them hold a value."""
+    fewer than ``min_rows`` of them hold a value.
 
-    def exprs(w):
-        frame = w.rowsBetween(-(rows - 1), 0)
-        median = F.percentile(value, 0.5).over(frame)
-        return {"baseline": F.when(F.count(value).over(frame) >= min_rows, median)}
-
-    return framed(df, layout, before=rows - 1, after=0, exprs=exprs)
+    Rows are dealt and sorted by (record, chunk), with the context of each
+    chunk; counts of each level are then cumulated along the rows and two of
+    them differ by what a frame holds, so nothing is sorted per row.
+    """
+    visible(df.sparkSession)
+    key, seq = layout.key, layout.seq
+    own = F.floor(F.col(seq) / layout.chunk_rows).cast("long")
+    last = F.floor((F.col(seq) + rows - 1) / layout.chunk_rows).cast("long")
+    dealt = df.withColumn("_own", own).withColumn("_chunk", F.explode(F.sequence(own, last)))
+    dealt = dealt.repartition(F.col(key), F.col("_chunk")).sortWithinPartitions(key, "_chunk", seq)
+    names = df.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail: pa.Table | None = None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            held = new if tail is None else pa.concat_tables([tail, new])
+            held = held.combine_chunks()
+            skip = held.num_rows - new.num_rows
+            chunk, record = held.column("_chunk").to_numpy(), held.column(key)
+            change = np.concatenate([[True], chunk[1:] != chunk[:-1]])
+            change[1:] |= pc.fill_null(pc.not_equal(record[1:], record[:-1]), True).to_numpy(zero_copy_only=False) if len(change) > 1 else False
+            x = held.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            base = sliding_median(x, np.flatnonzero(change), rows, min_rows)
+            mine = np.flatnonzero((chunk == held.column("_own").to_numpy()) & (np.arange(len(chunk)) >= skip))
+            out = held.select(names).append_column("baseline", pa.array(base, mask=np.isnan(base))).take(pa.array(mine))
+            yield from out.combine_chunks().to_batches()
+            # the next batch may go on with the same chunk
+            tail = held.slice(max(0, held.num_rows - (rows - 1)))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return dealt.select(*names, "_own", "_chunk").mapInArrow(work, f"{kinds}, baseline double")
+
+
+def sliding_median(x: np.ndarray, starts: np.ndarray, rows: int, min_rows: int, levels: int = 256, block: int = 1 << 14) -> np.ndarray:
+    """Median of the non-missing among the last ``rows`` values, frames cut at ``starts``; NaN below ``min_rows`` of them.
+
+    Values of up to ``levels`` kinds are counted by kind; a stretch with more
+    kinds is sorted frame by frame.
+    """
+    out = np.full(len(x), np.nan)
+    first = np.zeros(len(x), np.int64)
+    first[starts] = starts
+    first = np.maximum(np.maximum.accumulate(first), np.arange(len(x)) - rows + 1)
+    for lo in range(0, len(x), block):
+        hi = min(lo + block, len(x))
+        at = int(first[lo])
+        part = x[at:hi]
+        kinds = np.unique(part[~np.isnan(part)])
+        begin, end = first[lo:hi] - at, np.arange(lo, hi) - at + 1
+        if len(kinds) == 0:
+            continue
+        if len(kinds) <= levels:
+            seen = np.zeros((len(part) + 1, len(kinds)), np.int32)
+            full = np.flatnonzero(~np.isnan(part))
+            seen[full + 1, np.searchsorted(kinds, part[full])] = 1
+            np.cumsum(seen, axis=0, out=seen)
+            upto = np.cumsum(seen[end] - seen[begin], axis=1)
+            n = upto[:, -1]
+            low = (upto > (np.maximum(n - 1, 0) // 2)[:, None]).argmax(1)
+            high = (upto > (n // 2)[:, None]).argmax(1)
+            middle = (kinds[low] + kinds[np.where(n > 0, high, 0)]) / 2
+        else:
+            n = np.zeros(hi - lo, np.int64)
+            middle = np.zeros(hi - lo)
+            for i, (a, b) in enumerate(zip(begin, end, strict=True)):
+                frame = part[a:b]
+                frame = frame[~np.isnan(frame)]
+                n[i] = len(frame)
+                middle[i] = np.median(frame) if len(frame) else 0
+        out[lo:hi] = np.where(n >= max(min_rows, 1), middle, np.nan)
+    return out
 
 
 def below_runs(
@@ -76,55 +147,61 @@ def candidate_events(qc: DataFrame, layout: Layout, p: Params, value: str = "spo
 
 
 def dedup_overlaps(
-    events: DataFrame, layout: Layout, start: str = "start_idx", end: str = "end_idx", max_fold: int = 10000,
+    events: DataFrame, layout: Layout, start: str = "start_idx", end: str = "end_idx", max_fold: int = 256,
 ) -> DataFrame:
     """Keep an event only if it starts after the end of the last kept one.
 
     An event that starts after every earlier end is kept whatever came before,
-    so it opens an independent cluster.  Clusters are folded in one expression;
-    a cluster longer than ``max_fold`` first gives up its opening event and the
-    events that one covers, and is split again, until every cluster is short.
+    so it opens an independent cluster.  Short clusters are folded in one
+    expression.  If one is longer than ``max_fold``, every event points to the
+    first one that starts after its end, and pointers are doubled: after k
+    rounds the first 2^k kept events of each cluster are marked.
     """
     key = layout.key
     by_start = layout.over(key, start)
-
-    def clustered(df: DataFrame) -> DataFrame:
-        seen = running(df, by_start, {"_reach": ("max", F.col(end))}, inclusive=False)
-        opens = F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))
-        seen = stable(seen.withColumn("_opens", F.when(opens, F.col(start))))
-        return running(seen, by_start, {"_cluster": ("last", F.col("_opens"))}).drop("_reach", "_opens")
-
-    pending = stable(clustered(events.select(key, start, end)))
-    kept = []
-    while True:
-        sizes = pending.groupBy(key, "_cluster").agg(F.count(F.lit(1)).alias("_size"))
-        large = sizes.filter(F.col("_size") > max_fold).select(key, "_cluster")
-        if large.isEmpty():
-            break
-        tall = pending.join(large, [key, "_cluster"], "left_semi")
-        heads = tall.filter(F.col(start) == F.col("_cluster")).select(key, "_cluster", F.col(end).alias("_head_end"))
-        kept.append(heads.select(key, F.col("_cluster").alias(start)))
-        rest = tall.join(heads, [key, "_cluster"]).filter(F.col(start) > F.col("_head_end"))
-        small = pending.join(large, [key, "_cluster"], "left_anti")
-        pending = stable(clustered(rest.select(key, start, end)).unionByName(small.select(key, start, end, "_cluster")))
-    members = pending.groupBy(key, "_cluster").agg(
-        F.array_sort(F.collect_list(F.struct(start, end))).alias("_list")
-    )
-    fold = F.aggregate(
-        "_list",
-        F.struct(F.lit(-1).cast("long").alias("reach"), F.array().cast("array<bigint>").alias("keep")),
-        lambda acc, e: F.when(
-            e[start] > acc["reach"],
-            F.struct(e[end].alias("reach"), F.array_append(acc["keep"], e[start]).alias("keep")),
-        ).otherwise(acc),
-        lambda acc: acc["keep"],
-    )
-    chosen = members.select(key, F.explode(fold).alias(start))
-    for part in kept:
-        chosen = chosen.unionByName(part)
+    seen = running(events.select(key, start, end), by_start, {"_reach": ("max", F.col(end))}, inclusive=False)
+    opens = F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))
+    seen = stable(seen.withColumn("_opens", F.when(opens, F.col(start))))
+    pending = stable(running(seen, by_start, {"_cluster": ("last", F.col("_opens"))}).drop("_reach", "_opens"))
+    largest = pending.groupBy(key, "_cluster").count().agg(F.max("count")).first()[0] or 0
+    if largest > max_fold:
+        chosen = chained(pending, layout, start, end, largest)
+    else:
+        members = pending.groupBy(key, "_cluster").agg(F.array_sort(F.collect_list(F.struct(start, end))).alias("_list"))
+        fold = F.aggregate(
+            "_list",
+            F.struct(F.lit(-1).cast("long").alias("reach"), F.array().cast("array<bigint>").alias("keep")),
+            lambda acc, e: F.when(
+                e[start] > acc["reach"],
+                F.struct(e[end].alias("reach"), F.array_append(acc["keep"], e[start]).alias("keep")),
+            ).otherwise(acc),
+            lambda acc: acc["keep"],
+        )
+        chosen = members.select(key, F.explode(fold).alias(start))
     return events.join(chosen, [key, start], "left_semi")
 
 
+def chained(pending: DataFrame, layout: Layout, start: str, end: str, longest: int) -> DataFrame:
+    """(record, start) of the events that each cluster's first one leads to by "next that starts after my end"."""
+    key = layout.key
+    # places of starts are even, those of ends odd: an event that starts on an end is not after it
+    doubled = replace(layout, seq="_at", chunk_rows=2 * layout.chunk_rows, max_seq=None if layout.max_seq is None else 2 * layout.max_seq + 1)
+    begin = pending.select(key, (2 * F.col(start)).alias("_at"), F.col(start).alias("_starts"), F.lit(None).cast("long").alias("_of"))
+    stop = pending.select(key, (2 * F.col(end) + 1).alias("_at"), F.lit(None).cast("long").alias("_starts"), F.col(start).alias("_of"))
+    ahead = running(begin.unionByName(stop), doubled, {"_next": ("last", F.col("_starts"))}, reverse=True)
+    nodes = stable(ahead.filter("_of is not null").select(key, F.col("_of").alias("_id"), "_next").join(
+        pending.select(key, F.col(start).alias("_id"), (F.col(start) == F.col("_cluster")).alias("_kept")), [key, "_id"]))
+    for _ in range(max(1, (longest - 1).bit_length())):
+        hop = nodes.select(key, F.col("_id").alias("_next"), F.col("_next").alias("_after"))
+        met = nodes.join(hop, [key, "_next"], "left")
+        none = F.lit(None).cast("long")
+        rows = F.array(F.struct(F.col("_id").alias("id"), F.col("_after").alias("to"), F.col("_kept").alias("kept")),
+                       F.struct(F.when(F.col("_kept"), F.col("_next")).alias("id"), none.alias("to"), F.lit(True).alias("kept")))
+        nodes = stable(met.select(key, F.explode(rows).alias("x")).filter("x.id is not null").groupBy(key, F.col("x.id").alias("_id")).agg(
+            F.max("x.to").alias("_next"), F.max("x.kept").alias("_kept")))
+    return nodes.filter("_kept").select(key, F.col("_id").alias(start))
+
+
 def detect_events(qc: DataFrame, layout: Layout, p: Params) -> DataFrame:
     return stable(dedup_overlaps(stable(candidate_events(qc, layout, p)), layout))
 

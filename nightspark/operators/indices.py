@@ -12,7 +12,7 @@ from nightspark.config import Layout, Params
 from nightspark.functions.scalars import seconds_between
 from nightspark.operators.ordering import stable
 from nightspark.operators.ranks import exact_percentiles
-from nightspark.operators.scans import run_bounds, running
+from nightspark.operators.scans import run_bounds, running, with_constants
 
 
 def per_hour(count: Column, seconds: Column) -> Column:
@@ -67,7 +67,7 @@ def sample_indices(qc: DataFrame, layout: Layout, p: Params, span: DataFrame | N
     """Sleep, SpO2, heart-rate and movement indices (no events)."""
     span = stable(record_span(qc, layout)) if span is None else span
     key, stage = layout.key, F.col("sleep_stage")
-    rows = qc.join(span.select(key, "_last", "_onset"), key)
+    rows = with_constants(qc, span.select(key, "_last", "_onset"), layout)
     ends = F.col(layout.seq).isin(0) | (F.col(layout.seq) == F.col("_last"))
     spo2, hr, mov = F.col("spo2_clean"), F.col("hr_clean"), F.col("mov").cast("double")
     aggs = {
@@ -119,8 +119,7 @@ def heart_rate_extremes(qc: DataFrame, layout: Layout, p: Params, slow: float =
 def movement_index(qc: DataFrame, layout: Layout, p: Params, span: DataFrame, factor: float = 3.0) -> DataFrame:
     """Runs of movement over max(factor * median, 0.01 * factor), per recorded hour."""
     level = F.greatest(F.col("_median_mov") * factor, F.lit(0.01 * factor))
-    rows = qc.select(layout.key, layout.seq, "mov").join(
-        span.select(layout.key, level.alias("_level")), layout.key)
+    rows = with_constants(qc.select(layout.key, layout.seq, "mov"), span.select(layout.key, level.alias("_level")), layout)
     n = sustained_runs(rows, layout, F.col("mov") > F.col("_level"), p.movement_rows, "_moves")
     return span.join(n, layout.key).select(
         layout.key, per_hour(F.col("_moves"), F.col("duration_s")).alias("movement_index_per_h"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from nightspark.config import Layout
 from nightspark.operators.ordering import order_rows, stable
-from nightspark.operators.scans import running
+from nightspark.operators.scans import framed, running, with_constants
 
 SMALL_GROUP = 200_000  # distinct values of one group that fit easily in a task
 
@@ -117,12 +117,40 @@ def exact_percentiles(
     return base.join(out, cond, "left").select(*[F.col(f"_b{k}").alias(g) for k, g in zip(keys, groups)], *present)
 
 
-def average_rank(df: DataFrame, groups: Sequence[str], value: str, out: str) -> DataFrame:
-    """Add the 1-based average rank of ``value`` (null stays null)."""
-    table = rank_table(df, groups, value)
+def average_rank(
+    df: DataFrame, groups: Sequence[str], value: str, out: str, chunk_rows: int = 65536,
+) -> DataFrame:
+    """Add the 1-based average rank of ``value`` (null stays null).
+
+    As long as no value is borne by more than ``chunk_rows`` rows of a group,
+    rows meet the ranks of their value; beyond that, ranks are carried along
+    the ordered rows in chunks, so that no value has a task of its own.
+    """
+    table = stable(rank_table(df, groups, value))
+    if (table.agg(F.max("n")).first()[0] or 0) > chunk_rows:
+        return carried_rank(df, groups, value, out, chunk_rows)
     ranks = table.select(
         *[F.col(g).alias(f"_g_{g}") for g in groups], F.col(value).alias("_value"),
         (F.col("below") + (F.col("n") + 1) / 2.0).alias(out),
     )
     cond = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups] + [F.col(value) == F.col("_value")]
     return df.join(ranks, cond, "left").select(*df.columns, out)
+
+
+def carried_rank(df: DataFrame, groups: Sequence[str], value: str, out: str, chunk_rows: int = 65536) -> DataFrame:
+    """``average_rank`` from the order of the rows alone: first and last place of each row's tie run, carried in chunks."""
+    names = df.columns
+    group = F.to_json(F.struct(*groups)) if groups else F.lit("")
+    rows = df.filter(F.col(value).isNotNull()).withColumns({"_group": group, "_tie": F.monotonically_increasing_id()})
+    # equal values are spread over partitions by the tie-breaker
+    placed = stable(order_rows(stable(rows), ["_group"], [value, "_tie"], out="_place"))
+    layout = Layout(key="_group", seq="_place", chunk_rows=chunk_rows).sized(placed)
+    marked = framed(placed, layout, before=1, after=0, exprs=lambda w: {
+        "_starts": F.coalesce(F.lag(value).over(w) != F.col(value), F.lit(True))})
+    marked = stable(marked.withColumn("_start", F.when(F.col("_starts"), F.col("_place"))))
+    first = running(marked, layout, {"_first": ("last", F.col("_start"))})
+    both = running(first, layout, {"_next": ("last", F.col("_start"))}, reverse=True, inclusive=False)
+    sizes = placed.groupBy("_group").agg(F.count(F.lit(1)).alias("_size"))
+    last = F.coalesce(F.col("_next"), F.col("_size")) - 1
+    ranked = with_constants(both, sizes, layout).select(*names, ((F.col("_first") + last) / 2.0 + 1).alias(out))
+    return ranked.unionByName(df.filter(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double")))

@@ -131,6 +131,22 @@ def running(
     )
 
 
+def with_constants(rows: DataFrame, constants: DataFrame, layout: Layout) -> DataFrame:
+    """Columns of a table with one row per record beside the record's rows (records in both).
+
+    The constants are copied to every chunk of their record and met on (record,
+    chunk), so a record's rows never meet in one task; where every record fits
+    into a chunk, the record alone will do.
+    """
+    key, seq = layout.key, layout.seq
+    if not layout.levels:
+        return rows.join(constants, key)
+    chunk = _div(F.col(seq), layout.chunk_rows)
+    ends = rows.groupBy(key).agg(F.min(chunk).alias("_first_chunk"), F.max(chunk).alias("_last_chunk"))
+    copies = constants.join(ends, key).withColumn("_chunk", F.explode(F.sequence("_first_chunk", "_last_chunk"))).drop("_first_chunk", "_last_chunk")
+    return rows.withColumn("_chunk", chunk).join(copies, [key, "_chunk"]).drop("_chunk")
+
+
 def run_bounds(df: DataFrame, layout: Layout, value: Column, rows: DataFrame | None = None) -> DataFrame:
     """First rows of maximal runs of equal ``value`` with their length.
 
@@ -152,7 +168,7 @@ def run_bounds(df: DataFrame, layout: Layout, value: Column, rows: DataFrame | N
     )
     ends = (df if rows is None else rows).groupBy(key).agg(F.max(seq).alias("_last_seq"))
     return (
-        starts.join(ends, key)
+        with_constants(starts, ends, layout)
         .withColumn("run_start", F.col(seq))
         .withColumn("run_end", F.coalesce(F.col("_next") - 1, F.col("_last_seq")))
         .withColumn("run_rows", F.col("run_end") - F.col("run_start") + 1)

@@ -11,7 +11,7 @@ from nightspark.config import Layout, Params
 from nightspark.functions.scalars import add_seconds, parse_ampm_seconds, severe_label
 from nightspark.operators.intervals import asof_join, epoch, interval_join, near_any
 from nightspark.operators.ordering import order_rows
-from nightspark.operators.scans import framed, run_bounds, running
+from nightspark.operators.scans import framed, run_bounds, running, with_constants
 
 KEY = "night_record_id"
 
@@ -77,7 +77,7 @@ def quintile_composition(signal: DataFrame, layout: Layout) -> DataFrame:
     head = r * (q + 1)
     piece = F.when(seq < head, F.floor(seq / (q + 1))).otherwise(
         r + F.floor((seq - head) / F.greatest(q, F.lit(1))))
-    rows = signal.select(KEY, layout.seq, "sleep_stage").join(sizes, KEY).withColumn("quintile", piece.cast("long"))
+    rows = with_constants(signal.select(KEY, layout.seq, "sleep_stage"), sizes, layout).withColumn("quintile", piece.cast("long"))
     share = lambda s: F.avg(F.when(F.col("sleep_stage") == s, 1.0).otherwise(0.0))
     return rows.groupBy(KEY, "quintile").agg(*[share(s).alias(f"frac_stage_{s}") for s in range(4)])
 
@@ -244,7 +244,7 @@ def event_rolling(events: DataFrame, layout: Layout, in_path: Column, window: in
     ev = running(ev, by_event, {"n_severe_so_far": ("sum", F.col("is_severe").cast("int"))}, inclusive=False)
     sizes = events.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
     seq = F.col("ev_seq")
-    return ev.join(sizes, KEY).withColumns({
+    return with_constants(ev, sizes, by_event).withColumns({
         "ci_so_far": F.when(seq > 0, F.col("n_severe_so_far") / seq),
         "event_position": seq / F.greatest(F.col("_n") - 1, F.lit(1)),
     }).drop("_n", "_path")
@@ -252,9 +252,11 @@ def event_rolling(events: DataFrame, layout: Layout, in_path: Column, window: in
 
 def window_position(windows: DataFrame) -> DataFrame:
     """t / max(t) in the record, within 0..1; null when the maximum is 0."""
+    # windows carry a number of their own, which cuts long records as rows do
+    by_window = Layout(key=KEY, seq="window_idx")
     top = windows.groupBy(KEY).agg(F.max("t_start_s").alias("_top"))
     ratio = F.col("t_start_s") / F.nullif(F.col("_top"), F.lit(0.0))
-    return windows.join(top, KEY).withColumn(
+    return with_constants(windows, top, by_window).withColumn(
         "window_position", F.least(F.greatest(ratio, F.lit(0.0)), F.lit(1.0))).drop("_top")
 
 

@@ -60,7 +60,7 @@ def _(L):
 @query("rolling_baseline", f"SELECT night_record_id, seq, {d6('baseline')} FROM base")
 def _(L):
     return detect.rolling_baseline(
-        L.qc, L.layout, "spo2_clean", L.p.baseline_rows, L.p.baseline_min_rows).select(KEY, "seq", "baseline")
+        L.qc.select(KEY, "seq", "spo2_clean"), L.layout, "spo2_clean", L.p.baseline_rows, L.p.baseline_min_rows).select(KEY, "seq", "baseline")
 
 
 @query("below_runs", f"SELECT night_record_id, run_start, run_end, run_end - run_start + 1 AS run_rows, {d6('baseline_spo2')} FROM bruns")

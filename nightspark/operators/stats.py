@@ -1,4 +1,4 @@
-"""Statistics as Spark aggregates: ranks, variance parts, resampling, scores.
+"""Statistics as Spark aggregates: ranks, variance parts, scores.
 
 Global ranks go through ``rank_table``; every figure is an aggregate over
 distinct values or over groups, never a collected sample.
@@ -6,14 +6,13 @@ distinct values or over groups, never a collected sample.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nightspark.operators.ordering import order_rows, stable
-from nightspark.operators.ranks import average_rank, exact_percentiles, rank_table, with_scalars
+from nightspark.operators.ordering import stable
+from nightspark.operators.ranks import average_rank, rank_table, with_scalars
 
 
 def spearman(df: DataFrame, groups: Sequence[str], a: str, b: str, min_n: int = 0) -> DataFrame:
@@ -25,16 +24,17 @@ def spearman(df: DataFrame, groups: Sequence[str], a: str, b: str, min_n: int =
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:
-    """Long correlation matrix (a < b), pairwise complete rows."""
+    """Long correlation matrix (a < b), pairwise complete rows; all Pearson pairs come from one aggregate."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
+    if method == "pearson":
+        both = {f"_r{i}": F.corr(F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))) for i, (a, b) in enumerate(pairs)}
+        row = df.agg(*[c.alias(n) for n, c in both.items()])
+        cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
+        return row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
     parts = None
-    for i, a in enumerate(columns):
-        for b in columns[i + 1:]:
-            if method == "pearson":
-                one = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(F.corr(a, b).alias("r"))
-            else:
-                one = spearman(df, [], a, b).withColumnRenamed("rho", "r")
-            one = one.select(F.lit(a).alias("a"), F.lit(b).alias("b"), "r")
-            parts = one if parts is None else parts.union(one)
+    for a, b in pairs:
+        one = spearman(df, [], a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col("rho").alias("r"))
+        parts = one if parts is None else parts.union(one)
     return parts
 
 
@@ -150,90 +150,6 @@ def incremental_r2(df: DataFrame, y: str, x1: str, x2: str) -> DataFrame:
     return a.select("n", r1.alias("r2_one"), r2.alias("r2_two"), (r2 - r1).alias("r2_gain"))
 
 
-def hash_unit(*parts: Column) -> Column:
-    """A repeatable draw in [0, 1) from the md5 of its parts."""
-    text = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
-    return F.conv(F.substring(text, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
-
-
-def stabilization_curve(df: DataFrame, owner: str, night: str, value: str, ks: Sequence[int], replicates: int, min_nights: int) -> DataFrame:
-    """Error of the mean of k random nights against the owner's full mean.
-
-    Nights are drawn without replacement by hash order; replicates are rows,
-    numbered together with ``order_rows`` on (owner, replicate).
-    """
-    full = df.filter(F.col(value).isNotNull()).groupBy(owner).agg(F.avg(value).alias("_ref"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_nights)
-    base = df.filter(F.col(value).isNotNull()).join(full, owner).select(owner, night, value, "_ref", "_n")
-    draws = base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draws = draws.withColumn("_h", F.md5(F.concat_ws("|", F.col("rep").cast("string"), F.col(night))))
-    picked = order_rows(draws, [owner, "rep"], ["_h"], out="_pick").filter(F.col("_pick") < max(ks))
-    per_k = picked.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).filter((F.col("_pick") < F.col("k")) & (F.col("k") <= F.col("_n")))
-    pred = per_k.groupBy(owner, "rep", "k").agg(F.avg(value).alias("_p"), F.min("_ref").alias("_ref"))
-    err = F.col("_p") - F.col("_ref")
-    cat = lambda c: F.when(c < 5, 0).when(c < 15, 1).when(c < 30, 2).otherwise(3)
-    by_rep = pred.groupBy("k", "rep").agg(
-        F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"), F.corr("_p", "_ref").alias("corr"),
-        F.avg((cat(F.col("_p")) == cat(F.col("_ref"))).cast("double")).alias("agreement"))
-    return by_rep.groupBy("k").agg(*[F.avg(c).alias(c) for c in ("mae", "rmse", "corr", "agreement")])
-
-
-def bootstrap_icc(df: DataFrame, owner: str, value: str, replicates: int) -> DataFrame:
-    """ICC over owners redrawn with replacement (duplicates count as new owners).
-
-    An owner's count in a replicate comes from hash draws over the owner list,
-    and the ICC needs only per-owner moments, so the night table is read once.
-    """
-    g = df.filter(F.col(value).isNotNull()).groupBy(owner).agg(
-        F.count(F.lit(1)).alias("_n"), F.avg(value).alias("_m"), F.var_pop(value).alias("_v"))
-    g = stable(order_rows(g.withColumn("_all", F.lit(0)), ["_all"], [owner], out="_i"))
-    size = g.agg(F.count(F.lit(1)).alias("_k"))
-    slots = with_scalars(g.select(F.col("_i").alias("_slot")), size).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    slots = slots.withColumn("_i", F.floor(hash_unit(F.col("rep"), F.col("_slot")) * F.col("_k")).cast("long"))
-    drawn = slots.select("rep", "_slot", "_i").join(g.select("_i", "_n", "_m", "_v"), "_i")
-    n, k = F.sum("_n"), F.count(F.lit(1))
-    grand = F.sum(F.col("_n") * F.col("_m")) / n
-    a = drawn.groupBy("rep").agg(
-        ((F.sum(F.col("_n") * F.col("_m") * F.col("_m")) - n * grand * grand) / (k - 1)).alias("_b"),
-        (F.sum(F.col("_n") * F.col("_v")) / (n - k)).alias("_w"), (n / k).alias("_km"))
-    b, w = F.col("_b"), F.col("_w")
-    return a.select("rep", ((b - w) / (b + (F.col("_km") - 1) * w)).alias("icc_1_1"), ((b - w) / b).alias("icc_1_k"))
-
-
-def poisson_draw(mean: Column, *seed: Column) -> Column:
-    """A Poisson count by hash.
-
-    By the sum of its probabilities up to a mean of 64, above that by the cube
-    of a normal draw (Wilson and Hilferty), whose error is far below one count.
-    """
-    u = hash_unit(*seed)
-    steps = F.sequence(F.lit(1), F.lit(160))
-    small = F.aggregate(
-        steps, F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("k")),
-        lambda a, i: F.struct(
-            (a["p"] * mean / i).alias("p"), (a["c"] + a["p"] * mean / i).alias("c"),
-            (a["k"] + F.when(u >= a["c"], 1).otherwise(0)).alias("k")), lambda a: a["k"].cast("long"))
-    normal = F.sqrt(-2 * F.ln(F.greatest(u, F.lit(1e-15)))) * F.cos(2 * math.pi * hash_unit(*seed, F.lit("angle")))
-    third = F.lit(1.0) / (3 * F.sqrt(mean))
-    large = F.greatest(F.floor(mean * F.pow(1 - third * third + normal * third, 3) + 0.5), F.lit(0)).cast("long")
-    return F.when(mean <= 64, small).otherwise(large)
-
-
-def bootstrap_median(df: DataFrame, group: str, value: str, replicates: int) -> DataFrame:
-    """Percentile interval of the median per group.
-
-    Each row gets a Poisson(1) weight in each replicate.  Rows of equal value
-    are drawn together, by a Poisson count of their number, so a replicate is a
-    weighted percentile over distinct values, not a copy of the rows.
-    """
-    rows = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
-    reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = reps.withColumn("_w", poisson_draw(F.col("_n").cast("double"), F.col("rep"), F.col(group), F.col(value))).filter("_w > 0")
-    table = rank_table(drawn, [group, "rep"], value, {"w": F.col("_w")})
-    mid = (F.col("w_total") - 1) / 2.0
-    med = table.filter((F.col("w_below") <= F.floor(mid)) & (F.floor(mid) < F.col("w_below") + F.col("w"))).select(group, "rep", F.col(value).alias("med"))
-    return exact_percentiles(med, [group], ["med"], {"lo": 0.025, "mid": 0.5, "hi": 0.975})
-
-
 # --- scores against a binary label -----------------------------------------
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from nightspark import config as C
 from nightspark.functions.scalars import severity_left_closed
 from nightspark.operators import analytics as N
+from nightspark.operators import resampling as R
 from nightspark.operators import series as S
 from nightspark.operators import stats as T
+from nightspark.operators.ordering import stable
 from nightspark.operators.ranks import with_scalars
 from nightspark.plans.analytic_queries import SEV, night_features, quality_events, rank_sql
 from nightspark.plans.oracle import cte
@@ -123,49 +125,78 @@ def _(L):
     return T.incremental_r2(night_features(L), "frac_severe_morpho", "odi_3", "mean_ari")
 
 
-_KS = (1, 2, 3, 5)
+# --- fixed values: replicates and night counts, which must equal the published ones ---
+_REPLICATES = 1000
+_ALL_KS, _LEAST_NIGHTS = (1, 2, 3, 5, 7, 10, 14), 14
+_SINGLE_DRAWS = 200
+# --- end of fixed values ---
+#: The small tables have some 12 nights a patient: the curve with a twin asks for ten.
+_KS, _SOME_NIGHTS = (1, 2, 3, 5, 7, 10), 10
+_CLASS = "CASE WHEN {0} < 5 THEN 0 WHEN {0} < 15 THEN 1 WHEN {0} < 30 THEN 2 ELSE 3 END"
+_SPREAD = ", ".join(f"r6(quantile_cont({m}, {q})) AS {m}_{n}" for m in ("mae", "corr", "agreement") for n, q in (("median", 0.5), ("p025", 0.025), ("p975", 0.975)))
 
 
-@query("stabilization_curve", f"""WITH b AS (SELECT patient_id, night_record_id, odi_3, avg(odi_3) OVER (PARTITION BY patient_id) AS ref, count(*) OVER (PARTITION BY patient_id) AS n FROM ngold0 WHERE in_quality),
-  p AS (SELECT b.*, r.rep, row_number() OVER (PARTITION BY patient_id, rep ORDER BY md5(rep || '|' || night_record_id)) AS rn FROM b CROSS JOIN range(5) r(rep) WHERE n >= 5),
+@query("stabilization_curve", f"""WITH b AS (SELECT patient_id, night_record_id, odi_3, avg(odi_3) OVER (PARTITION BY patient_id) AS ref, count(*) OVER (PARTITION BY patient_id) AS n FROM ngold0 WHERE in_quality AND odi_3 IS NOT NULL),
+  p AS (SELECT b.*, r.rep, row_number() OVER (PARTITION BY patient_id, rep ORDER BY md5(rep || '|' || night_record_id), night_record_id) AS rn FROM b CROSS JOIN range({_REPLICATES}) r(rep) WHERE n >= {_SOME_NIGHTS}),
   q AS (SELECT patient_id, rep, k, avg(odi_3) AS pr, min(ref) AS ref FROM p CROSS JOIN (VALUES {', '.join(f'({k})' for k in _KS)}) ks(k) WHERE rn <= k AND k <= n GROUP BY patient_id, rep, k),
-  c AS (SELECT k, rep, avg(abs(pr - ref)) AS mae, sqrt(avg((pr - ref) * (pr - ref))) AS rmse, corr(pr, ref) AS corr,
-    avg(CASE WHEN (CASE WHEN pr < 5 THEN 0 WHEN pr < 15 THEN 1 WHEN pr < 30 THEN 2 ELSE 3 END) = (CASE WHEN ref < 5 THEN 0 WHEN ref < 15 THEN 1 WHEN ref < 30 THEN 2 ELSE 3 END) THEN 1.0 ELSE 0.0 END) AS agreement FROM q GROUP BY k, rep)
-  SELECT CAST(k AS BIGINT) AS k, r6(avg(mae)) AS mae, r6(avg(rmse)) AS rmse, r6(avg(corr)) AS corr, r6(avg(agreement)) AS agreement FROM c GROUP BY k""")
+  c AS (SELECT k, rep, avg(abs(pr - ref)) AS mae, sqrt(avg((pr - ref) * (pr - ref))) AS rmse, CASE WHEN NOT isnan(corr(pr, ref)) THEN corr(pr, ref) END AS corr,
+    avg(CASE WHEN ({_CLASS.format('pr')}) = ({_CLASS.format('ref')}) THEN 1.0 ELSE 0.0 END) AS agreement, count(*) AS n FROM q GROUP BY k, rep)
+  SELECT CAST(k AS BIGINT) AS k, {_SPREAD}, r6(quantile_cont(rmse, 0.5)) AS rmse_median, r6(quantile_cont(n, 0.5)) AS n_patients FROM c GROUP BY k""")
 def _(L):
-    return T.stabilization_curve(L.nights.filter("in_quality"), "patient_id", KEY, "odi_3", _KS, 5, 5)
-
-
-#: Replicates, night counts and least nights of the reference; too slow for a DuckDB twin.
-_REPLICATES = 1000
-_ALL_KS, _LEAST_NIGHTS = (1, 2, 3, 5, 7, 10, 14), 14
+    return R.stabilization_curve(L.nights.filter("in_quality"), "patient_id", KEY, "odi_3", _KS, _REPLICATES, _SOME_NIGHTS)
 
 
 @query("stabilization_curve_full")
 def _(L):
-    return T.stabilization_curve(L.nights.filter("in_quality"), "patient_id", KEY, "odi_3", _ALL_KS, _REPLICATES, _LEAST_NIGHTS)
+    return R.stabilization_curve(L.nights.filter("in_quality"), "patient_id", KEY, "odi_3", _ALL_KS, _REPLICATES, _LEAST_NIGHTS)
+
+
+def _hash(*parts: str) -> str:
+    return f"CAST(CAST('0x' || substr(md5({" || '|' || ".join(parts)}), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0"
 
 
-_HASH = "CAST(CAST('0x' || substr(md5(rep || '|' || slot), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0"
+_MEASURES = ("icc_1_1", "icc_1_k", "cv_mean", "cv_median")
 
 
-@query("bootstrap_icc_cv", f"""WITH g AS (SELECT patient_id, count(*) AS n, avg(odi_3) AS m, var_pop(odi_3) AS v, row_number() OVER (ORDER BY patient_id) - 1 AS i FROM ngold0 WHERE in_quality GROUP BY patient_id),
-  s AS (SELECT rep, slot, CAST(floor({_HASH} * (SELECT count(*) FROM g)) AS BIGINT) AS i FROM range(20) r(rep) CROSS JOIN (SELECT i AS slot FROM g)),
-  d AS (SELECT s.rep, g.n, g.m, g.v, sum(g.n * g.m) OVER (PARTITION BY rep) / sum(g.n) OVER (PARTITION BY rep) AS gm FROM s JOIN g ON g.i = s.i),
-  a AS (SELECT rep, sum(n * (m - gm) * (m - gm)) / (count(*) - 1) AS b, sum(n * v) / (sum(n) - count(*)) AS w, sum(n) / count(*) AS km FROM d GROUP BY rep)
-  SELECT rep, r6((b - w) / (b + (km - 1) * w)) AS icc_1_1, r6((b - w) / b) AS icc_1_k FROM a""")
+_ICC_SQL = f"""WITH g AS (SELECT patient_id, count(*) AS n, avg(odi_3) AS m, var_pop(odi_3) AS v, CASE WHEN count(*) > 1 THEN stddev_samp(odi_3) END / nullif(avg(odi_3), 0) AS cv,
+    row_number() OVER (ORDER BY patient_id) - 1 AS i FROM ngold0 WHERE in_quality AND odi_3 IS NOT NULL GROUP BY patient_id),
+  s AS (SELECT rep, slot, CAST(floor({_hash('rep', 'slot')} * (SELECT count(*) FROM g)) AS BIGINT) AS i FROM range({_REPLICATES}) r(rep) CROSS JOIN (SELECT i AS slot FROM g)),
+  d AS (SELECT s.rep, g.n, g.m, g.v, g.cv, sum(g.n * g.m) OVER (PARTITION BY rep) / sum(g.n) OVER (PARTITION BY rep) AS gm FROM s JOIN g ON g.i = s.i),
+  a AS (SELECT rep, sum(n * (m - gm) * (m - gm)) / (count(*) - 1) AS b, sum(n * v) / (sum(n) - count(*)) AS w, sum(n) / count(*) AS km, avg(cv) AS cv_mean, quantile_cont(cv, 0.5) AS cv_median FROM d GROUP BY rep),
+  e AS (SELECT rep, (b - w) / (b + (km - 1) * w) AS icc_1_1, (b - w) / b AS icc_1_k, cv_mean, cv_median FROM a)
+  """
+
+
+def icc_replicates(L):
+    if "_icc" not in L.__dict__:
+        L.__dict__["_icc"] = stable(R.bootstrap_icc_cv(L.nights.filter("in_quality"), "patient_id", "odi_3", _REPLICATES))
+    return L.__dict__["_icc"]
+
+
+@query("bootstrap_icc_cv", _ICC_SQL + " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, r6(quantile_cont({m}, 0.025)) AS p025, r6(quantile_cont({m}, 0.5)) AS median, r6(quantile_cont({m}, 0.975)) AS p975 FROM e" for m in _MEASURES))
 def _(L):
-    return T.bootstrap_icc(L.nights.filter("in_quality"), "patient_id", "odi_3", 20)
+    return R.interval(icc_replicates(L), _MEASURES)
 
 
-@query("bootstrap_icc_cv_full")
+@query("bootstrap_icc_cv_full", _ICC_SQL + "SELECT rep, r6(icc_1_1) AS icc_1_1, r6(icc_1_k) AS icc_1_k, r6(cv_mean) AS cv_mean, r6(cv_median) AS cv_median FROM e")
+def _(L):
+    """All replicates, one row each."""
+    return icc_replicates(L).select("rep", *_MEASURES)
+
+
+@query("simulated_agreement", f"""WITH b AS (SELECT patient_id, mean_ari, row_number() OVER (PARTITION BY patient_id ORDER BY night_record_id) - 1 AS i, avg(mean_ari) OVER (PARTITION BY patient_id) AS m,
+    count(*) OVER (PARTITION BY patient_id) AS n FROM nfeat WHERE mean_ari IS NOT NULL),
+  a AS (SELECT DISTINCT patient_id, n, m, rep, CAST(floor({_hash('rep', 'patient_id')} * n) AS BIGINT) AS i FROM b CROSS JOIN range({_SINGLE_DRAWS}) r(rep) WHERE n >= 3),
+  d AS (SELECT b.mean_ari - a.m AS d FROM a JOIN b ON b.patient_id = a.patient_id AND b.i = a.i)
+  SELECT count(*) AS n, r6(avg(d)) AS bias, r6(stddev_samp(d)) AS sd, r6(avg(d) - 1.96 * stddev_samp(d)) AS loa_low, r6(avg(d) + 1.96 * stddev_samp(d)) AS loa_high FROM d""")
 def _(L):
-    return T.bootstrap_icc(L.nights.filter("in_quality"), "patient_id", "odi_3", _REPLICATES)
+    return R.simulated_agreement(night_features(L), "patient_id", KEY, "mean_ari", _SINGLE_DRAWS)
 
 
 @query("bootstrap_median_ci")
 def _(L):
-    return T.bootstrap_median(L.event_states.filter("morphotype_curve is not null"), "morphotype_curve", "drop_pct", _REPLICATES)
+    return R.bootstrap_median(L.event_states.filter("morphotype_curve is not null"), "morphotype_curve", "drop_pct", _REPLICATES)
 
 
 @query("reclassification", """WITH r AS (SELECT patient_id, avg(odi_3) AS ref FROM ngold0 WHERE in_quality GROUP BY patient_id),

@@ -10,6 +10,7 @@ from nightspark.plans.analytic_queries import rank_sql
 from nightspark.plans.oracle import cte
 from nightspark.plans.registry import d6, query
 from nightspark.sources.adapter import PARAMS as P
+from nightspark.sources.footers import file_schema_lock
 
 KEY = "night_record_id"
 
@@ -42,15 +43,21 @@ cte("""b5k AS (SELECT p.night_record_id, p.window_idx AS parent, c.scale, c.stat
   AND c.t_start_s >= p.t_start_s AND c.t_start_s < p.t_end_s WHERE p.scale = 'l' AND p.cluster_int >= 0 GROUP BY p.night_record_id, p.window_idx, c.scale, c.state_label)""")
 cte("""b5 AS (SELECT night_record_id, avg(coh) FILTER (WHERE scale = 'm') AS coh_l_vs_m, avg(coh) FILTER (WHERE scale = 's') AS coh_l_vs_s FROM
   (SELECT night_record_id, parent, scale, 1 - sum(-p * log2(p + 1e-12)) / CASE WHEN scale = 'm' THEN log2(5) ELSE log2(7) END AS coh FROM (SELECT *, n / sum(n) OVER (PARTITION BY night_record_id, parent, scale) AS p FROM b5k) GROUP BY night_record_id, parent, scale) GROUP BY night_record_id)""")
-cte("""bchk AS (SELECT 'B1' AS check_id, 'PASS' AS status UNION ALL SELECT 'B2' AS check_id, CASE WHEN s = 'FAIL' AND k THEN 'WARN' ELSE s END AS status FROM (SELECT CASE WHEN count(*) FILTER (WHERE b2_status = 'FAIL') > 0 THEN 'FAIL' WHEN count(*) FILTER (WHERE b2_status = 'WARN') > 0 THEN 'WARN' ELSE 'PASS' END AS s,
+cte("""b1 AS (SELECT DISTINCT night_record_id, CAST(user_id % 29 = 0 AS BIGINT) AS n_missing, CAST(user_id % 29 <> 0 AND user_id % 31 = 0 AS BIGINT) AS n_extra, CAST(user_id % 29 <> 0 AND user_id % 31 = 0 AS BIGINT) AS n_wrong,
+  CASE WHEN user_id % 29 = 0 THEN 'coverage' WHEN user_id % 31 = 0 THEN 'note,window_idx' ELSE '' END AS columns, CASE WHEN user_id % 29 = 0 OR user_id % 31 = 0 THEN 'FAIL' ELSE 'PASS' END AS b1_status FROM st)""")
+cte("""bchk AS (SELECT 'B1' AS check_id, CASE WHEN count(*) FILTER (WHERE b1_status = 'FAIL') > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM b1 UNION ALL SELECT 'B2' AS check_id, CASE WHEN s = 'FAIL' AND k THEN 'WARN' ELSE s END AS status FROM (SELECT CASE WHEN count(*) FILTER (WHERE b2_status = 'FAIL') > 0 THEN 'FAIL' WHEN count(*) FILTER (WHERE b2_status = 'WARN') > 0 THEN 'WARN' ELSE 'PASS' END AS s,
    (SELECT count(*) > 0 AND count(*) FILTER (WHERE q.qc_coverage_ok AND q.qc_max_gap_ok) = 0 FROM b2 x JOIN nqc q ON q.night_record_id = x.night_record_id WHERE x.b2_status = 'FAIL') AS k FROM b2)
   UNION ALL SELECT 'B3', CASE WHEN count(*) FILTER (WHERE flag_b3) > 0 THEN 'WARN' ELSE 'PASS' END FROM b3 UNION ALL SELECT 'B4', CASE WHEN count(*) FILTER (WHERE flag_b4) > 0 THEN 'WARN' ELSE 'PASS' END FROM b4
   UNION ALL SELECT 'B5', CASE WHEN avg(coh_l_vs_m) < 0.3 OR avg(coh_l_vs_s) < 0.3 THEN 'WARN' ELSE 'PASS' END FROM b5)""")
 
 
-@query("b1_schema_lock", "SELECT DISTINCT night_record_id, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_extra, CAST(0 AS BIGINT) AS n_wrong, '' AS columns, 'PASS' AS b1_status FROM st")
+def schema_lock(L):
+    return file_schema_lock(L.spark, L.states_apart, K.STATE_COLUMNS, KEY, K.KINDS)
+
+
+@query("b1_schema_lock", "SELECT * FROM b1")
 def _(L):
-    return K.schema_lock([L.states])
+    return schema_lock(L)
 
 
 @query("b2_temporal_coverage", f"SELECT night_record_id, {d6(*[f'b2_coverage_{s}' for s in C.STATE_K])}, b2_status FROM b2")
@@ -80,7 +87,7 @@ def _(L):
 
 
 def _checks(L):
-    return K.check_rows(K.schema_lock([L.states]), K.temporal_coverage(L.states), K.dominance(L.states), K.outlier_share(L.states),
+    return K.check_rows(schema_lock(L), K.temporal_coverage(L.states), K.dominance(L.states), K.outlier_share(L.states),
                         K.coherence(L.states, float(L.p.window_rows["l"])), L.night_qc)
 
 

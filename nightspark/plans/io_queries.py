@@ -15,6 +15,7 @@ from nightspark.plans.registry import d6, query
 from nightspark.plans.series_queries import scored
 from nightspark.sources import recordings as R
 from nightspark.sources import tables as B
+from nightspark.sources.footers import files_under, footers
 
 KEY = "night_record_id"
 
@@ -286,13 +287,41 @@ def _(L):
 
 @query("table_manifest")
 def _(L):
-    return B.table_manifest({"events": L.events, "states": L.states, "nights": L.nights.drop("ts_start", "ts_end")}, "v1")
+    names = ("events", "states", "nights")
+    tables = {n: getattr(L, n) for n in names}
+    return B.table_manifest({n: t.drop("ts_start", "ts_end") for n, t in tables.items()}, "v1", {n: sum(size for _, size in files_under(L.spark, f"{L.root}/{n}")) for n in names})
+
+
+@query("layer_footers", """SELECT 'events' AS layer, count(*) AS n_rows FROM ev UNION ALL SELECT 'states', count(*) FROM st UNION ALL SELECT 'nights', count(*) FROM ngold0 UNION ALL SELECT 'windows', count(*) FROM win""")
+def _(L):
+    """Rows of each layer by the footers of its files."""
+    out = None
+    for name in ("events", "states", "nights", "windows"):
+        getattr(L, name)
+        one = footers(L.spark, f"{L.root}/{name}").agg(F.sum("n_rows").alias("n_rows")).select(F.lit(name).alias("layer"), "n_rows")
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query("column_dictionary")
 def _(L):
     flags = ("in_quality", "in_strict", "in_high_tst", "with_clinical", "flag_for_review", "b2_fail")
-    return B.column_dictionary(L.nights, (KEY, "user_id", "patient_id", "model_version"), flags)
+    said = L.spark.createDataFrame([("odi_3", "events of 3 % an hour"), ("tst_s", "seconds asleep")], "column_name string, description string")
+    return B.column_dictionary(L.nights, (KEY, "user_id", "patient_id", "model_version"), flags, said)
+
+
+@query("corpus_manifest", """WITH c AS (SELECT count(*) AS n, count(DISTINCT patient_id) AS p, min(night_record_id) AS a, max(night_record_id) AS b FROM nqc),
+  m AS (SELECT scale, count(DISTINCT cluster) AS k, sum(n_training) AS n FROM (SELECT DISTINCT scale, cluster, n_training FROM cen) GROUP BY scale),
+  x AS (SELECT count(*) FILTER (WHERE b2_fail) AS f, count(*) FILTER (WHERE flag_for_review) AS r FROM flg)
+  SELECT 'model ' || scale AS section, 'clusters_used' AS name, CAST(k AS VARCHAR) AS value FROM m UNION ALL SELECT 'model ' || scale, 'n_training', CAST(n AS VARCHAR) FROM m
+  UNION ALL SELECT 'corpus', 'n_records', CAST(n AS VARCHAR) FROM c UNION ALL SELECT 'corpus', 'n_owners', CAST(p AS VARCHAR) FROM c UNION ALL SELECT 'corpus', 'first', a FROM c UNION ALL SELECT 'corpus', 'last', b FROM c
+  UNION ALL SELECT 'exclusion', 'b2_fail', CAST(f AS VARCHAR) FROM x UNION ALL SELECT 'exclusion', 'flag_for_review', CAST(r AS VARCHAR) FROM x""")
+def _(L):
+    """What the stored model saw and what was left out, as the store tells it."""
+    held = L.state_store
+    models = {s: {"clusters_used": sum(n > 0 for n in held.counts[s]), "n_training": sum(held.counts[s])} for s in held.models}
+    left = L.flags.agg(F.count_if("b2_fail").alias("b2_fail"), F.count_if("flag_for_review").alias("flag_for_review")).first().asDict()
+    return B.corpus_manifest(models, held.meta["snapshot"], left, L.spark)
 
 
 @query("model_manifest", "SELECT morphotype, count(*) AS n_training, 'v1' AS model_version, '4' AS k FROM evm WHERE in_sleep AND NOT near_gap AND meets_3pct GROUP BY morphotype")

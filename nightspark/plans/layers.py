@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from nightspark import config as C
 from nightspark.config import Layout
 from nightspark.operators import cohorts, detect, indices, labels, qc, store, windows
+from nightspark.operators.checks import STATE_COLUMNS
 from nightspark.operators.ordering import shared_dir, stable
 from nightspark.plans import fixtures as X
 from nightspark.sources import adapter as A
@@ -117,6 +118,19 @@ class Layers:
 
         return self._layer("states", build, "scale")
 
+    @property
+    def states_apart(self) -> str:
+        """Folder of state files that were written apart: some lack a column, some hold another type and one column more."""
+        path, u = f"{self.root}/states-apart", F.col("user_id")
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/good/_SUCCESS")
+        if not done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done):
+            st = self.states.select(*STATE_COLUMNS)
+            short, typed = F.coalesce(u % 29 == 0, F.lit(False)), F.coalesce(u % 31 == 0, F.lit(False))
+            st.filter(short).drop("coverage").write.mode("overwrite").parquet(f"{path}/short")
+            st.filter(typed & ~short).withColumn("window_idx", F.col("window_idx").cast("string")).withColumn("note", F.lit("")).write.mode("overwrite").parquet(f"{path}/typed")
+            st.filter(~short & ~typed).write.mode("overwrite").parquet(f"{path}/good")
+        return path
+
     @cached_property
     def state_store(self) -> store.Stored:
         """Centroids fitted as means of the labelled training windows, written to the store and read from it."""

@@ -83,17 +83,42 @@ def gate_json(report: DataFrame) -> DataFrame:
     return report.select(F.to_json(F.struct(*report.columns)).alias("value"))
 
 
-def table_manifest(tables: Mapping[str, DataFrame], model_version: str) -> DataFrame:
-    """Per table: build order, rows, columns and an order-free checksum."""
+def multiset_checksum(df: DataFrame) -> DataFrame:
+    """One row (n_rows, checksum): two sums of row hashes modulo 2^64, as 32 hex digits.
+
+    The order of rows does not matter, and equal rows add up instead of
+    cancelling.
+    """
+    whole = lambda seed: F.sum(F.xxhash64(F.lit(seed), *df.columns).cast("decimal(38,0)"))
+    half = lambda c: F.lpad(F.conv(F.pmod(F.coalesce(c, F.lit(0)), F.lit(str(2**64)).cast("decimal(38,0)")).cast("string"), 10, 16), 16, "0")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.lower(F.concat(half(whole(1)), half(whole(2)))).alias("checksum"))
+
+
+def table_manifest(tables: Mapping[str, DataFrame], model_version: str, sizes: Mapping[str, int] | None = None) -> DataFrame:
+    """Per table: build order, rows, columns, bytes of its files and an order-free checksum."""
     out = None
     for i, (name, df) in enumerate(tables.items()):
-        one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("checksum")).select(
+        one = multiset_checksum(df).select(
             F.lit(name).alias("table"), F.lit(i).cast("long").alias("build_order"), "n_rows", F.lit(len(df.columns)).cast("long").alias("n_cols"),
-            "checksum", F.lit(model_version).alias("model_version"))
+            F.lit((sizes or {}).get(name)).cast("long").alias("n_bytes"), "checksum", F.lit(model_version).alias("model_version"))
         out = one if out is None else out.union(one)
     return out
 
 
+def model_manifest(training: DataFrame, label: str, params: Mapping[str, str]) -> DataFrame:
+    """Training rows per label beside the model's parameters."""
+    n = training.groupBy(label).agg(F.count(F.lit(1)).alias("n_training"))
+    return n.withColumns({k: F.lit(v) for k, v in params.items()})
+
+
+def corpus_manifest(models: Mapping[str, Mapping], snapshot: Mapping, exclusions: Mapping[str, int], spark: SparkSession) -> DataFrame:
+    """(section, name, value) of what a set of models is: K, labels and counts of each, the corpus they saw, the lists left out."""
+    rows = [(f"model {m}", str(k), str(v)) for m, parts in models.items() for k, v in parts.items()]
+    rows += [("corpus", str(k), str(v)) for k, v in snapshot.items()]
+    rows += [("exclusion", str(k), str(v)) for k, v in exclusions.items()]
+    return spark.createDataFrame(rows, "section string, name string, value string")
+
+
 def kind_of(dtype: T.DataType) -> str:
     if isinstance(dtype, T.BooleanType):
         return "bool"
@@ -139,12 +164,6 @@ def fill_profile(df: DataFrame, source: str, column: str) -> DataFrame:
         "n_blank": F.col("n_rows") - F.col("n_filled"), "bucket": F.when(F.col("n_filled") == 0, "none").otherwise("some")})
 
 
-def model_manifest(training: DataFrame, label: str, params: Mapping[str, str]) -> DataFrame:
-    """Training rows per label beside the model's parameters."""
-    n = training.groupBy(label).agg(F.count(F.lit(1)).alias("n_training"))
-    return n.withColumns({k: F.lit(v) for k, v in params.items()})
-
-
 def validate_schema(df: DataFrame, contract: Mapping[str, str], strict: bool = False) -> list[tuple[str, str]]:
     """Problems as (column, what); ``strict`` raises on any.
 

@@ -135,6 +135,16 @@ def context_distribution(events: DataFrame, layout: Layout) -> DataFrame:
     return counts.join(total, ["is_severe", "scale", "moment"]).withColumn("share", F.col("n") / F.col("_t")).drop("_t")
 
 
+def returns_to_state(events: DataFrame, layout: Layout) -> DataFrame:
+    """Per severity and scale: events with a state before and after, and the share where both are the same."""
+    cols = [f"state_{s}" for s in C.STATE_K]
+    near = neighbours(events.select(KEY, "start_idx", "is_severe", *cols), layout, cols)
+    parts = F.explode(F.array(*[
+        F.struct(F.lit(s).alias("scale"), F.col(f"prev_state_{s}").alias("p"), F.col(f"next_state_{s}").alias("x")) for s in C.STATE_K])).alias("_c")
+    long = near.select("is_severe", parts).select("is_severe", "_c.*").filter("p is not null and x is not null")
+    return long.groupBy("is_severe", "scale").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("p") == F.col("x")).cast("double")).alias("same_share"))
+
+
 def resilience(events: DataFrame, layout: Layout) -> DataFrame:
     """After a severe event in a path state, is the next event's state outside
     (resilient) or still inside (collapsed) the path states; per curve label."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,3 +87,13 @@ def clinical_coverage(owners: DataFrame, clinical: DataFrame, owner: str = "pati
         F.sum("_n").alias("n_nights"),
         F.coalesce(F.sum(F.when(F.col("_known"), F.col("_n"))), F.lit(0)).alias("n_nights_covered"),
         n_users.alias("n_users"), covered.alias("n_users_covered"), (n_users - covered).alias("n_users_missing"))
+
+
+def clinical_rows(owners: DataFrame, clinical: DataFrame, fields: Sequence[str], owner: str = "patient_id") -> DataFrame:
+    """Every owner with its records, the clinical fields it lacks and whether its row is complete, partial or missing."""
+    per = owners.groupBy(owner).agg(F.count(F.lit(1)).alias("n_records"))
+    blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+    one = clinical.groupBy(owner).agg(*[F.max(c).alias(c) for c in fields]).withColumn("_has", F.lit(True))
+    lacks = F.concat_ws(",", *[F.when(blank(c), F.lit(c)) for c in fields])
+    status = F.when(F.col("_has").isNull(), "missing").when(lacks != "", "partial").otherwise("complete")
+    return per.join(one, owner, "left").select(owner, "n_records", lacks.alias("missing"), status.alias("status"))

@@ -7,6 +7,7 @@ from nightspark.plans import (  # noqa: F401
     gold_queries,
     io_queries,
     model_queries,
+    report_queries,
     series_queries,
     stat_queries,
 )

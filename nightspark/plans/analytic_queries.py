@@ -11,7 +11,7 @@ from nightspark.operators import series as S
 from nightspark.operators.qc import with_step
 from nightspark.operators.ranks import average_rank, exact_percentiles, with_scalars
 from nightspark.operators.scans import running
-from nightspark.operators.ordering import order_rows
+from nightspark.operators.ordering import order_rows, stable
 from nightspark.config import Layout
 from nightspark.plans.oracle import cte
 from nightspark.plans.registry import d6, query
@@ -93,19 +93,50 @@ def _(L):
     return N.state_profile(L.states)
 
 
-@query("physiology_by_state", "SELECT state_m, count(hr_gain) AS n, " + ", ".join(f"CASE WHEN count(hr_gain) >= 5 THEN r6(quantile_cont(hr_gain, {p})) END AS {n}" for n, p in (("q25", .25), ("median", .5), ("q75", .75))) + " FROM ari WHERE state_m IS NOT NULL GROUP BY state_m")
+_PHYSIOLOGY = ("hr_gain", "mov_gain", "ari", "drop_pct")
+_QUARTILES = {"q25": .25, "median": .5, "q75": .75}
+
+
+def by_scale(e, *columns):
+    """Events once per scale, with the scale and its state."""
+    states = F.explode(F.array(*[F.struct(F.lit(s).alias("scale"), F.col(f"state_{s}").alias("state")) for s in C.STATE_K])).alias("_s")
+    return e.select(states, *columns).select("_s.*", *columns).filter("state is not null")
+
+
+def scales_sql(columns: str, source: str) -> str:
+    return "(" + " UNION ALL ".join(f"SELECT '{s}' AS scale, state_{s} AS state, {columns} FROM {source} WHERE state_{s} IS NOT NULL" for s in C.STATE_K) + ")"
+
+
+@query("physiology_by_state", "SELECT scale, state, " + ", ".join(f"count({m}) AS n_{m}, " + ", ".join(
+    f"CASE WHEN count({m}) >= 5 THEN r6(quantile_cont(CAST({m} AS DOUBLE), {p})) END AS {m}_{n}" for n, p in _QUARTILES.items()) for m in _PHYSIOLOGY)
+    + f" FROM {scales_sql(', '.join(_PHYSIOLOGY), 'ari')} GROUP BY scale, state")
+def _(L):
+    """Quartiles of each measure per state of all scales, from five events on."""
+    long = stable(by_scale(quality_events(L), *_PHYSIOLOGY))
+    counts = long.groupBy("scale", "state").agg(*[F.count(m).alias(f"n_{m}") for m in _PHYSIOLOGY])
+    out = exact_percentiles(long, ["scale", "state"], list(_PHYSIOLOGY), _QUARTILES).join(counts, ["scale", "state"])
+    return out.select("scale", "state", *[f"n_{m}" for m in _PHYSIOLOGY], *[
+        F.when(F.col(f"n_{m}") >= 5, F.col(f"{m}_{q}")).alias(f"{m}_{q}") for m in _PHYSIOLOGY for q in _QUARTILES])
+
+
+@query("state_label_medians", f"SELECT scale, state, morphotype_curve, count(*) AS n, r6(quantile_cont(CAST(drop_pct AS DOUBLE), 0.5)) AS median_drop_pct, r6(quantile_cont(hr_gain, 0.5)) AS median_hr_gain FROM {scales_sql('morphotype_curve, drop_pct, hr_gain', 'ari')} WHERE morphotype_curve IS NOT NULL GROUP BY scale, state, morphotype_curve")
 def _(L):
-    return N.grouped_percentiles(quality_events(L).filter("state_m is not null"), ["state_m"], "hr_gain", {"q25": .25, "median": .5, "q75": .75}, 5)
+    long = stable(by_scale(quality_events(L), "morphotype_curve", "drop_pct", "hr_gain").filter("morphotype_curve is not null"))
+    keys = ["scale", "state", "morphotype_curve"]
+    mid = exact_percentiles(long, keys, ["drop_pct", "hr_gain"], {"m": 0.5})
+    return long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(mid, keys).select(
+        *keys, "n", F.col("drop_pct_m").alias("median_drop_pct"), F.col("hr_gain_m").alias("median_hr_gain"))
 
 
-@query("severity_interaction", "SELECT state_s, " + ", ".join(f"r6(avg(drop_pct) FILTER (WHERE morphotype_curve = '{c}')) AS mean_{c.lower()}, r6(quantile_cont(drop_pct, 0.5) FILTER (WHERE morphotype_curve = '{c}')) AS median_{c.lower()}" for c in C.CURVE_LABELS) + " FROM evs WHERE state_s IS NOT NULL GROUP BY state_s")
+@query("severity_interaction", "SELECT scale, state, " + ", ".join(f"r6(avg(drop_pct) FILTER (WHERE morphotype_curve = '{c}')) AS mean_{c.lower()}, r6(quantile_cont(drop_pct, 0.5) FILTER (WHERE morphotype_curve = '{c}')) AS median_{c.lower()}" for c in C.CURVE_LABELS)
+       + f" FROM {scales_sql('morphotype_curve, drop_pct', 'evs')} GROUP BY scale, state")
 def _(L):
-    e = L.event_states.filter("state_s is not null")
-    wide = e.groupBy("state_s").pivot("morphotype_curve", list(C.CURVE_LABELS)).agg(F.avg("drop_pct"))
-    wide = wide.select("state_s", *[F.col(c).alias(f"mean_{c.lower()}") for c in C.CURVE_LABELS])
-    only = e.select("state_s", *[F.when(F.col("morphotype_curve") == c, F.col("drop_pct")).alias(c) for c in C.CURVE_LABELS])
-    med = exact_percentiles(only, ["state_s"], list(C.CURVE_LABELS), {"m": 0.5})
-    return wide.join(med.select("state_s", *[F.col(f"{c}_m").alias(f"median_{c.lower()}") for c in C.CURVE_LABELS]), "state_s")
+    """Mean and median drop per state of all scales and curve label."""
+    only = {c: F.when(F.col("morphotype_curve") == c, F.col("drop_pct")).alias(c) for c in C.CURVE_LABELS}
+    long = stable(by_scale(L.event_states, "morphotype_curve", "drop_pct").select("scale", "state", *only.values()))
+    wide = long.groupBy("scale", "state").agg(*[F.avg(c).alias(f"mean_{c.lower()}") for c in C.CURVE_LABELS])
+    med = exact_percentiles(long, ["scale", "state"], list(C.CURVE_LABELS), {"m": 0.5})
+    return wide.join(med, ["scale", "state"]).select(*wide.columns, *[F.col(f"{c}_m").alias(f"median_{c.lower()}") for c in C.CURVE_LABELS])
 
 
 _XT = "SELECT {r}, {c}, count(*) AS n, r6(count(*) / sum(count(*)) OVER (PARTITION BY {r})) AS row_share, r6(count(*) / sum(count(*)) OVER (PARTITION BY {c})) AS col_share FROM {t} WHERE {r} IS NOT NULL AND {c} IS NOT NULL GROUP BY {r}, {c}"

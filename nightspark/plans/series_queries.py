@@ -242,11 +242,17 @@ def _(L):
     return L.event_states.select(KEY, "start_idx", *cols)
 
 
-@query("asof_backward", "SELECT night_record_id, start_idx, CASE WHEN state_m IS NOT NULL OR window_idx_m IS NOT NULL THEN state_m END AS state_label FROM evs")
+@query("asof_backward", " UNION ALL ".join(f"SELECT night_record_id, start_idx, '{s}' AS scale, CASE WHEN state_{s} IS NOT NULL OR window_idx_{s} IS NOT NULL THEN state_{s} END AS state_label FROM evs" for s in C.STATE_K))
 def _(L):
-    w = L.states.filter(F.col("scale") == "m").select(KEY, "t_start", "t_end", "state_label")
-    out = asof_join(L.raw_events.select(KEY, "start_idx", "ts_start"), w, KEY, "ts_start", "t_start", ["t_end", "state_label"], ["start_idx"])
-    return out.select(KEY, "start_idx", F.when(F.col("t_end") > F.col("ts_start"), F.col("state_label")).alias("state_label"))
+    """State of the last window of each scale that began before an event and had not ended."""
+    out = None
+    events = L.raw_events.select(KEY, "start_idx", "ts_start")
+    for scale in C.STATE_K:
+        w = L.states.filter(F.col("scale") == scale).select(KEY, "t_start", "t_end", "state_label")
+        one = asof_join(events, w, KEY, "ts_start", "t_start", ["t_end", "state_label"], ["start_idx"])
+        one = one.select(KEY, "start_idx", F.lit(scale).alias("scale"), F.when(F.col("t_end") > F.col("ts_start"), F.col("state_label")).alias("state_label"))
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query("interval_containment", """SELECT e.night_record_id, e.start_idx, w.scale, w.window_idx FROM det e JOIN st w ON w.night_record_id = e.night_record_id AND e.ts_start >= w.t_start AND e.ts_start < w.t_end""")

@@ -118,11 +118,19 @@ def _(L):
     return out.withColumn("bias", F.round("bias", 6) + 0.0)
 
 
-@query("r2_incremental", """WITH f AS (SELECT frac_severe_morpho AS y, odi_3 AS a, mean_ari AS b FROM nfeat WHERE frac_severe_morpho IS NOT NULL AND odi_3 IS NOT NULL AND mean_ari IS NOT NULL),
-  c AS (SELECT count(*) AS n, corr(y, a) AS ya, corr(y, b) AS yb, corr(a, b) AS ab FROM f)
-  SELECT n, r6(ya * ya) AS r2_one, r6((ya * ya + yb * yb - 2 * ya * yb * ab) / (1 - ab * ab)) AS r2_two, r6((ya * ya + yb * yb - 2 * ya * yb * ab) / (1 - ab * ab) - ya * ya) AS r2_gain FROM c""")
+_R2_TARGETS = ("frac_severe_morpho", "t90_frac", "sleep_efficiency", "hypoxic_burden_90", "movement_index_per_h")
+
+
+@query("r2_incremental", " UNION ALL ".join(f"""SELECT '{y}' AS metric, n, r6(ya * ya) AS r2_one, r6((ya * ya + yb * yb - 2 * ya * yb * ab) / (1 - ab * ab)) AS r2_two, r6((ya * ya + yb * yb - 2 * ya * yb * ab) / (1 - ab * ab) - ya * ya) AS r2_gain
+  FROM (SELECT count(*) AS n, corr({y}, odi_3) AS ya, corr({y}, mean_ari) AS yb, corr(odi_3, mean_ari) AS ab FROM nfeat WHERE {y} IS NOT NULL AND odi_3 IS NOT NULL AND mean_ari IS NOT NULL)""" for y in _R2_TARGETS))
 def _(L):
-    return T.incremental_r2(night_features(L), "frac_severe_morpho", "odi_3", "mean_ari")
+    """Gain of the reactivity index over the event rate, for each measure."""
+    n = stable(night_features(L).select("odi_3", "mean_ari", *_R2_TARGETS))
+    out = None
+    for y in _R2_TARGETS:
+        one = T.incremental_r2(n, y, "odi_3", "mean_ari").select(F.lit(y).alias("metric"), "*")
+        out = one if out is None else out.union(one)
+    return out
 
 
 # --- fixed values: replicates and night counts, which must equal the published ones ---

@@ -230,7 +230,14 @@ def _(L):
 
 @query("scan_headers", "SELECT CAST(user_id AS VARCHAR) AS user_id, night_record_id FROM nqc")
 def _(L):
-    return R.scan_headers(blocks_of(L)).select("user_id", record_of_file().alias(KEY))
+    return R.scan_headers(R.read_headers(L.spark, exported(L))).select("user_id", record_of_file().alias(KEY))
+
+
+@query("export_fingerprints", "SELECT night_record_id, 1 AS n_files, true AS named FROM nqc")
+def _(L):
+    """Digests of the written exports, by record: every file has one."""
+    prints = R.fingerprints(L.spark, exported(L)).select(record_of_file().alias(KEY), "sha256")
+    return prints.groupBy(KEY).agg(F.count_distinct("sha256").alias("n_files"), (F.min(F.length("sha256")) == 64).alias("named"))
 
 
 @query("ingest_status", """SELECT night_record_id, CASE WHEN user_id % 10 = 9 THEN 'FAIL' WHEN user_id % 17 = 0 THEN 'SKIP_COHORT' ELSE 'OK' END AS status, CASE WHEN user_id % 10 = 9 THEN 'expected 3 blocks, found 2' END AS error FROM nqc""")

@@ -58,7 +58,10 @@ def footers(spark: SparkSession, path: str, record: str | None = None) -> DataFr
             for name, size in zip(batch.column("file").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
                 row = {"file": name, "n_rows": None, "bytes": size, "columns": None, "records": None, "error": None}
                 try:
-                    where, inside = fs.FileSystem.from_uri(name if "://" in name else "file://" + name.removeprefix("file:"))
+                    if name.startswith("file:"):
+                        where, inside = fs.LocalFileSystem(), name.removeprefix("file://").removeprefix("file:")
+                    else:
+                        where, inside = fs.FileSystem.from_uri(name)
                     with where.open_input_file(inside) as source:
                         f = pq.ParquetFile(source)
                         row["n_rows"] = f.metadata.num_rows

@@ -7,8 +7,11 @@ export is split like any other text file.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from nightspark.functions.scalars import parse_datetime, record_id
 from nightspark.operators.ordering import order_rows, stable
 from nightspark.operators.scans import framed, running
 from nightspark.operators.series import reconstruct_timestamps
+from nightspark.operators.workers import visible
 
 # fixed values: source column -> canonical column, and start-time formats
 SIGNAL_MAP = {"time": "time_text", "spo2": "spo2", "bpm": "hr", "acceleration_module": "mov", "sleep_stage": "sleep_stage"}
@@ -64,6 +68,68 @@ def scan_headers(blocks: DataFrame) -> DataFrame:
     return block_rows(blocks, 0, ["user_id"]).filter(F.trim("user_id") != "").select("user_id", "file").distinct()
 
 
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes) of all data files below a folder, named as in ``read_lines`` (escaped); a file is a row of its own task group."""
+    visible(spark)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, it = [], fs.listFiles(root, True)
+    while it.hasNext():
+        status = it.next()
+        name = status.getPath().toUri().toString()
+        if status.getPath().getName()[:1] not in "._":
+            # Spark's metadata column has one slash where the listing has three
+            found.append((f"file:{name[7:]}" if name.startswith("file:///") else name, status.getLen()))
+    tasks = max(1, min(len(found), 8 * spark.sparkContext.defaultParallelism))
+    return spark.createDataFrame(sorted(found), "file string, bytes long").repartition(tasks)
+
+
+def _opened(name: str):
+    import pyarrow.fs as fs
+
+    if name.startswith("file:"):
+        return fs.LocalFileSystem().open_input_stream(unquote(name.removeprefix("file://").removeprefix("file:")))
+    where, inside = fs.FileSystem.from_uri(name)
+    return where.open_input_stream(inside)
+
+
+def first_block(stream, step: int = 4096, most: int = 64 << 20) -> list[str]:
+    """Lines up to the first blank one after a line with text; reads no further than the step in which it stands."""
+    held = b""
+    while len(held) < most:
+        more = stream.read(step)
+        held += more
+        lines = held.split(b"\n")
+        whole = lines if not more else lines[:-1]
+        texts = [x.decode("utf-8", "replace").rstrip("\r") for x in whole]
+        first = next((i for i, x in enumerate(texts) if x.strip()), None)
+        if first is not None:
+            end = next((i for i in range(first, len(texts)) if not texts[i].strip()), None)
+            if end is not None:
+                return texts[first:end]
+            if not more:
+                return [x for x in texts[first:] if x.strip()]
+        if not more:
+            return []
+    raise ValueError("the first block is longer than a header can be")
+
+
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """The first block of every export as ``split_blocks`` gives it; of a file no more than its head is read."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("file").to_pylist():
+                with _opened(name) as stream:
+                    lines = first_block(stream)
+                n = len(lines)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * n, pa.string()), pa.array([0] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(lines, pa.string())],
+                    ["file", "block", "line", "value"])
+
+    return files_of(spark, path).mapInArrow(work, "file string, block long, line long, value string")
+
+
 def ingest_status(blocks: DataFrame, cohort: DataFrame | None = None) -> DataFrame:
     """One row per file: OK, SKIP_COHORT or FAIL, with the reason.
 
@@ -85,13 +151,22 @@ def ingest_status(blocks: DataFrame, cohort: DataFrame | None = None) -> DataFra
     return j.select("file", "user_id", status.alias("status"), "error")
 
 
-def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """sha256 of each file's bytes (one recording is about a megabyte).
+def fingerprints(spark: SparkSession, path: str, step: int = 8 << 20) -> DataFrame:
+    """(file, bytes, sha256) of each file, read in order in steps: a file may have any size.
 
     Files are named as in ``read_lines`` (escaped), so that any name joins.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("_metadata.file_path").alias("file"), F.sha2("content", 256).alias("sha256"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, size in zip(batch.column("file").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+                digest = hashlib.sha256()
+                with _opened(name) as stream:
+                    while part := stream.read(step):
+                        digest.update(part)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size]), pa.array([digest.hexdigest()])], ["file", "bytes", "sha256"])
+
+    return files_of(spark, path).mapInArrow(work, "file string, bytes long, sha256 string")
 
 
 def ingest_recordings(spark: SparkSession, path: str, layout: Layout = Layout(), device_columns: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:

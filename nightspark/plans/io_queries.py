@@ -21,7 +21,11 @@ KEY = "night_record_id"
 
 
 def fresh_path(L, name: str) -> str:
-    return f"{shared_dir(L.spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one, deleted when the driver's JVM ends."""
+    path = f"{shared_dir(L.spark)}/{name}-{uuid.uuid4().hex}"
+    folder = L.spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(L.spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 def clock_text(L):

@@ -14,6 +14,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -175,29 +176,25 @@ class Plan:
         self.left, self.limit = dict(histogram), limit
         self.groups: list[tuple[tuple[int, ...], int]] = []
 
-    def take(self, classes: tuple[int, ...], width: int, repeats: int) -> None:
-        """Fill ``repeats`` sequences with a piece of each length class, longest with shortest of the next."""
-        runs = []
-        for k, c in enumerate(classes):
-            lengths = [n for n in range((c - 1) * width + 1, c * width + 1) if self.left.get(n)]
-            lengths.sort(reverse=k % 2 == 0)
-            run, need = [], repeats
-            for n in lengths:
-                got = min(need, self.left[n])
-                if got:
-                    run.append([n, got])
-                    self.left[n] -= got
-                    need -= got
-            runs.append(run)
-        at = [0] * len(runs)
-        while repeats:
-            now = [run[i] for run, i in zip(runs, at, strict=True)]
-            n = min(x[1] for x in now)
-            self.groups.append((tuple(x[0] for x in now), n))
-            repeats -= n
-            for k, x in enumerate(now):
-                x[1] -= n
-                at[k] += x[1] == 0
+    def take(self, ranges: list[range], repeats: int) -> None:
+        """Fill up to ``repeats`` sequences to the last token: a length of each range but the last, and what is then missing.
+
+        Pieces of a range that find no partner of the right length stay for the best fit.
+        """
+        *free, last = ranges
+        for head in product(*[[n for n in r if self.left.get(n)] for r in free]):
+            rest = self.limit - sum(head)
+            if rest not in last or not self.left.get(rest):
+                continue
+            lengths = (*head, rest)
+            n = min(repeats, *[self.left[x] // lengths.count(x) for x in lengths])
+            if n:
+                self.groups.append((lengths, n))
+                repeats -= n
+                for x in lengths:
+                    self.left[x] -= n
+            if not repeats:
+                return
 
     def best_fit(self) -> None:
         """Place what is left, longest first, where the least room stays; open new sequences where none is left."""
@@ -252,14 +249,20 @@ class Plan:
 
 
 def make_plan(histogram: dict[int, int], limit: int = SEQUENCE, classes: int = 64) -> Plan:
-    """Fit pattern counts to the histogram, round down, place the rest."""
+    """Fit pattern counts to the histogram, round down, fill them with lengths that leave no room, place the rest by best fit.
+
+    Patterns name classes of like length; a sequence of one counts only if its
+    pieces sum to ``limit``, so patterns waste nothing and what they cannot
+    fill is left to the best fit.
+    """
     plan = Plan(histogram, limit)
     classes = min(classes, limit)
     width = -(-limit // classes)
     classes = -(-limit // width)
+    near = lambda n: max(1, (n + width // 2) // width)
     target = np.zeros(classes)
     for length, n in histogram.items():
-        target[-(-length // width) - 1] += n
+        target[near(length) - 1] += n
     ways = [p for p in patterns(classes) if all(target[c - 1] for c in p)]
     if ways and limit % width == 0:
         matrix = np.zeros((classes, len(ways)))
@@ -269,14 +272,12 @@ def make_plan(histogram: dict[int, int], limit: int = SEQUENCE, classes: int = 6
         # a long piece misplaced costs more than a short one
         weight = np.arange(1, classes + 1) / classes
         fit = nnls(matrix * weight[:, None], target * weight)
-        have = target.astype(np.int64)
+        # lengths of a class, in whose middle it is named; the last piece makes up for what the others round away
+        span = lambda c, more: range(max(1, c * width - width // 2 - more), min(limit, c * width + width // 2 - 1 + more) + 1)
         for j in np.argsort(-fit):
             p, repeats = ways[j], int(fit[j])
-            use = np.bincount(np.array(p) - 1, minlength=classes)
-            repeats = min(repeats, int((have[use > 0] // use[use > 0]).min()))
-            if repeats > 0:
-                have -= use * repeats
-                plan.take(p, width, repeats)
+            if repeats:
+                plan.take([*[span(c, 0) for c in p[:-1]], span(p[-1], width)], repeats)
     plan.best_fit()
     return plan
 

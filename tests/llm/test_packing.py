@@ -42,8 +42,19 @@ def test_plan_fills_sequences():
             for x in group:
                 used[x] += repeats
         assert used == histogram
-        per = 4096 // int(lengths.min())
-        assert n <= max(1.06 * lengths.sum() / 4096 + 1, -(-len(lengths) // per))
+        alone = packing.Plan(histogram, 4096)
+        alone.best_fit()
+        assert n <= 1.0005 * sum(x[1] for x in alone.groups) + 1
+
+
+def test_patterns_come_near_the_lower_bound():
+    rng = np.random.default_rng(3)
+    for lengths, over in (
+            (np.clip(rng.lognormal(7.5, 0.6, 200_000), 1, 4096), 1.005), (rng.integers(1, 4097, 200_000), 1.001), (np.clip(rng.lognormal(5, 1, 100_000), 1, 4096), 1.0)):
+        lengths = lengths.astype(int)
+        plan = packing.make_plan({int(k): int(v) for k, v in zip(*np.unique(lengths, return_counts=True), strict=True)})
+        assert sum(n for _, n in plan.groups) <= np.ceil(over * np.ceil(lengths.sum() / 4096))
+        assert all(sum(x) <= 4096 for x, _ in plan.groups)
 
 
 def test_pack_round_trip(documents, edge_rows, exact):

@@ -182,6 +182,8 @@ class Plan:
         Pieces of a range that find no partner of the right length stay for the best fit.
         """
         *free, last = ranges
+        if not repeats:
+            return
         for head in product(*[[n for n in r if self.left.get(n)] for r in free]):
             rest = self.limit - sum(head)
             if rest not in last or not self.left.get(rest):
@@ -248,14 +250,13 @@ class Plan:
         return pd.DataFrame(rows, columns=["length", "from_rank", "to_rank", "sequence", "offset"])
 
 
-def make_plan(histogram: dict[int, int], limit: int = SEQUENCE, classes: int = 64) -> Plan:
-    """Fit pattern counts to the histogram, round down, fill them with lengths that leave no room, place the rest by best fit.
+#: Shares of the fitted pattern counts that are tried.
+SHARES = (1.0, 0.75, 0.5, 0.25)
 
-    Patterns name classes of like length; a sequence of one counts only if its
-    pieces sum to ``limit``, so patterns waste nothing and what they cannot
-    fill is left to the best fit.
-    """
-    plan = Plan(histogram, limit)
+
+def pattern_plan(histogram: dict[int, int], limit: int, classes: int, shares: tuple[float, ...]) -> Plan:
+    """The plan with the fewest sequences among those that take these ``shares`` of the fitted counts."""
+    counts: list[tuple[list[range], float]] = []
     classes = min(classes, limit)
     width = -(-limit // classes)
     classes = -(-limit // width)
@@ -274,12 +275,28 @@ def make_plan(histogram: dict[int, int], limit: int = SEQUENCE, classes: int = 6
         fit = nnls(matrix * weight[:, None], target * weight)
         # lengths of a class, in whose middle it is named; the last piece makes up for what the others round away
         span = lambda c, more: range(max(1, c * width - width // 2 - more), min(limit, c * width + width // 2 - 1 + more) + 1)
-        for j in np.argsort(-fit):
-            p, repeats = ways[j], int(fit[j])
-            if repeats:
-                plan.take([*[span(c, 0) for c in p[:-1]], span(p[-1], width)], repeats)
-    plan.best_fit()
-    return plan
+        # pairs first: their pieces are the longest and have the fewest partners
+        chosen = sorted(np.flatnonzero(fit >= 1), key=lambda j: (len(ways[j]), -fit[j]))
+        counts = [([*[span(c, 0) for c in ways[j][:-1]], span(ways[j][-1], width)], fit[j]) for j in chosen]
+    plans = []
+    for share in shares:
+        plan = Plan(histogram, limit)
+        for ranges, repeats in counts:
+            plan.take(ranges, int(share * repeats))
+        plan.best_fit()
+        plans.append(plan)
+    return min(plans, key=lambda p: sum(n for _, n in p.groups))
+
+
+def make_plan(histogram: dict[int, int], limit: int = SEQUENCE, classes: int = 64) -> Plan:
+    """Fit pattern counts to the histogram, round down, fill them with lengths that leave no room, place the rest by best fit.
+
+    Patterns name classes of like length; a sequence of one counts only if its
+    pieces sum to ``limit``, so patterns waste nothing and what they cannot
+    fill is left to the best fit.  How much the best fit should get depends on
+    the histogram: the share of the counts with the fewest sequences is taken.
+    """
+    return pattern_plan(histogram, limit, classes, SHARES)
 
 
 def pack(

@@ -1,9 +1,11 @@
 """Licence scan by a positional index of rare licence words.
 
-Only DataFrame functions.  A document's licence words with the highest IDF (of
-each template) are looked up in the postings (template, place) of the templates; lookups that
-agree on where the template would start are counted; starts with two or more
-are compared word by word, and the template's key phrases must stand in place.
+Only DataFrame functions.  A template can stand in a document only if the
+document holds its key phrases' words and enough of the others.  Of such
+templates the document's words with the highest IDF are looked up in the
+postings (template, place); lookups that agree, but for a few words put in or
+left out, on where the template would start are counted; starts with three or
+more are compared word by word, and the template's key phrases must stand there.
 """
 
 from __future__ import annotations
@@ -22,13 +24,18 @@ from nightspark.llm.quality import let
 class Template:
     label: str
     text: str
-    #: Each stands once in the text and must stand in the document at the same place.
+    #: Each must stand in the document whole, where the template has it but for up to ``GAP`` words put in before.
     phrases: tuple[str, ...]
 
 
 # fixed values: notices of public licences
 TEMPLATES = (
     Template("apache-2.0", "Licensed under the Apache License, Version 2.0", ("apache license version 2 0",)),
+    Template("apache-header", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
+             "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
+             "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT "
+             "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
+             "permissions and limitations under the License.", ("apache license version 2 0", "without warranties or conditions of any kind")),
     Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
              "the following conditions are met", ("redistribution and use in source and binary forms",)),
     Template("cc-by-4.0", "Licensed under CC BY 4.0", ("cc by 4 0",)),
@@ -37,6 +44,22 @@ TEMPLATES = (
     Template("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", ("gnu general public license version 3",)),
     Template("gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
              "Public License as published by the Free Software Foundation", ("free software", "gnu general public license")),
+    Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+             "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" "
+             "AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+             "FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+             "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+             "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+             ("for any purpose with or without fee is hereby granted",)),
+    Template("mit-full", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+             "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights "
+             "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom "
+             "the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice "
+             "shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF "
+             "ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE "
+             "AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+             "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+             "DEALINGS IN THE SOFTWARE.", ("permission is hereby granted free of charge", "to deal in the software without restriction")),
     Template("mit-notice", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
              "documentation files", ("permission is hereby granted free of charge",)),
     Template("mit-release", "Released under the MIT License", ("mit license",)),
@@ -47,10 +70,13 @@ TEMPLATES = (
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 # end of fixed values
 
-#: Of each template, so many of the licence words in a document are looked up, the rarest ones.
-LOOKUPS = 4
 #: Least share of a template's words that stand in place.
 LEAST_SHARE = 0.6
+#: Words that stand up to so many words late count as in place: so many may be put in or left out, on balance.
+GAP = 8
+#: Lookups that must agree.  A template of n words may lack (1 - LEAST_SHARE) n of them: looking up so many
+#: and VOTES more of its words finds every start.
+VOTES = 3
 SHIFT, ROOM = 1 << 40, 1 << 20
 
 
@@ -90,15 +116,12 @@ def base_places(words: Column) -> Column:
 
 
 def aligned(words: Column, found: Column, frequencies: dict[str, int], templates: tuple[Template, ...]) -> Column:
-    """(label, share) of the templates that stand in the document, one for each place."""
+    """(label, share) of the templates that stand in the document, for each place where votes agree."""
     texts = [template_words(t.text) for t in templates]
     keys = []
     for t, ws in zip(templates, texts, strict=True):
-        places = set()
-        for phrase in map(template_words, t.phrases):
-            at = next(i for i in range(len(ws)) if ws[i : i + len(phrase)] == phrase)
-            places |= set(range(at, at + len(phrase)))
-        keys.append(sorted(places))
+        phrases = [template_words(p) for p in t.phrases]
+        keys.append([(next(i for i in range(len(ws)) if ws[i : i + len(p)] == p), p) for p in phrases])
     postings: dict[str, list[int]] = {}
     for t, ws in enumerate(texts):
         for i, w in enumerate(ws):
@@ -107,34 +130,55 @@ def aligned(words: Column, found: Column, frequencies: dict[str, int], templates
     frequency = F.create_map(*[x for w in sorted(postings) for x in (F.lit(w), _long(frequencies.get(w, 0)))])
     labels = F.array(*[F.lit(t.label) for t in templates])
     bodies = F.array(*[F.array(*map(F.lit, ws)) for ws in texts])
-    fixed = F.array(*[F.array(*map(F.lit, k)) for k in keys])
-
+    # (place, words) of the key phrases
+    fixed = F.array(*[F.array(*[F.struct(F.lit(at).alias("at"), F.array(*map(F.lit, p)).alias("words")) for at, p in k]) for k in keys])
+    musts = F.array(*[F.array(*[F.lit(w) for w in sorted({w for _, p in k for w in p})]) for k in keys])
+    lookups = F.array(*[F.lit(int((1 - LEAST_SHARE) * len(ws) + 1e-9) + VOTES) for ws in texts])
+
+    possible = F.filter(F.sequence(F.lit(0), F.lit(len(texts) - 1)), lambda t: F.forall(
+        F.get(musts, t), lambda w: F.array_contains(found, w)) & (F.size(F.filter(
+            F.get(bodies, t), lambda w: F.array_contains(found, w))) >= LEAST_SHARE * F.size(F.get(bodies, t))))
     ranked = F.sort_array(F.transform(found, lambda w: F.struct(F.element_at(frequency, w).alias("n"), w.alias("w"))))
-    # of each template, so that one licence in a document does not hide another
-    rare = F.array_distinct(F.flatten(F.transform(bodies, lambda body: F.slice(F.transform(F.filter(
-        ranked, lambda x: F.array_contains(body, x["w"])), lambda x: x["w"]), 1, LOOKUPS))))
 
-    def starts(rare: Column) -> Column:
-        """template * SHIFT + ROOM + start, one for each lookup."""
-        hits = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(rare, w), F.struct(
-            w.alias("w"), i.cast("long").alias("i")))), lambda x: x.isNotNull())
-        return F.sort_array(F.flatten(F.transform(hits, lambda x: F.transform(F.element_at(index, x["w"]), lambda p: p + x["i"]))))
+    def starts(live: Column) -> Column:
+        """template * SHIFT + ROOM + start, one for each lookup, sorted."""
+        # of each template, so that one licence in a document does not hide another
+        rare = F.array_distinct(F.flatten(F.transform(live, lambda t: F.slice(F.transform(F.filter(
+            ranked, lambda x: F.array_contains(F.get(bodies, t), x["w"])), lambda x: x["w"]), F.lit(1), F.get(lookups, t)))))
+
+        def hits(rare: Column) -> Column:
+            places = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(rare, w), F.struct(
+                w.alias("w"), i.cast("long").alias("i")))), lambda x: x.isNotNull())
+            return F.flatten(F.transform(places, lambda x: F.transform(F.filter(
+                F.element_at(index, x["w"]), lambda p: F.array_contains(live, F.floor(p / SHIFT).cast("int"))), lambda p: p + x["i"])))
+
+        return F.sort_array(let(rare, hits))
 
     def agreed(s: Column) -> Column:
-        """Starts that two lookups or more agree on, once each."""
+        """Starts from which on ``VOTES`` lookups or more stand in ``GAP`` words, once each."""
         return F.filter(F.transform(s, lambda x, j: F.when(
-            (x == F.get(s, j + 1)) & F.coalesce(x != F.get(s, j - 1), F.lit(True)), x)), lambda x: x.isNotNull())
+            (F.get(s, j + VOTES - 1) <= x + GAP) & F.coalesce(x != F.get(s, j - 1), F.lit(True)), x)), lambda x: x.isNotNull())
 
     def verified(key: Column) -> Column:
         t = F.floor(key / SHIFT).cast("int")
         start = (key - t.cast("long") * SHIFT - ROOM).cast("int")
-        body, must = F.get(bodies, t), F.get(fixed, t)
-        same = lambda j: F.coalesce(F.get(words, start + j) == F.get(body, j), F.lit(False))
-        share = F.size(F.filter(body, lambda w, j: same(j))) / F.size(body)
-        return F.when(F.forall(must, same) & (share >= LEAST_SHARE), F.struct(F.get(labels, t).alias("label"), share.alias("share")))
 
-    votes = let(rare, lambda r: let(starts(r), agreed))
-    return F.filter(F.transform(votes, verified), lambda x: x.isNotNull())
+        def near(j: Column) -> Column:
+            """The words from place ``j`` of the template on, ``GAP`` more than one."""
+            lo = F.greatest(start + j, F.lit(0))
+            return F.slice(words, lo + 1, F.greatest(start + j + GAP + 1 - lo, F.lit(0)))
+
+        phrase = lambda p: F.exists(F.sequence(F.lit(0), F.lit(GAP)), lambda d: (start + p["at"] + d >= 0) & F.forall(
+            F.transform(p["words"], lambda w, k: F.coalesce(F.get(words, start + p["at"] + d + k) == w, F.lit(False))), lambda same: same))
+        body = F.get(bodies, t)
+        share = F.size(F.filter(body, lambda w, j: F.array_contains(near(j), w))) / F.size(body)
+        return F.when(F.forall(F.get(fixed, t), phrase), let(share, lambda x: F.when(
+            x >= LEAST_SHARE, F.struct(F.get(labels, t).alias("label"), x.alias("share")))))
+
+    none = F.array().cast("array<struct<label:string,share:double>>")
+    votes = lambda live: let(starts(live), agreed)
+    return let(possible, lambda live: F.when(F.size(live) > 0, F.filter(F.transform(
+        votes(live), verified), lambda x: x.isNotNull())).otherwise(none))
 
 
 def license_scan(
@@ -142,8 +186,8 @@ def license_scan(
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    ``score`` is the largest share of a template's words that stand in place
-    (0 without one).  Null and empty texts: no words, empty labels, score 0,
+    ``score`` is the largest share of a template's words that stand in place,
+    or up to ``GAP`` words late (0 without one).  Null and empty texts: no words, empty labels, score 0,
     null places.  Repeated rows are judged one by one and count as often in the
     word frequencies; ties in frequency go by the word.  Other columns are
     ignored; no rows give no rows.  All documents give the word frequencies, of

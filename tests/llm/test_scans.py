@@ -52,6 +52,28 @@ def test_license_needs_its_phrase_in_place(documents):
     assert out[1].labels == "mit-notice" and 0.85 < out[1].score < 1 and out[2].labels == "" and out[2].score == 0
 
 
+def test_license_with_words_put_in_left_out_and_scattered(documents):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for t in licenses.TEMPLATES:
+        body = licenses.template_words(t.text)
+        kept = {w for p in t.phrases for w in licenses.template_words(p)}
+        for k in range(6):
+            own = list(body)
+            free = [i for i in range(len(own)) if not any(own[j : j + len(p)] == p and j < i < j + len(p) for p in map(
+                licenses.template_words, t.phrases) for j in range(len(own)))]
+            own.insert(rng.choice(free), "hereby")
+            if len(body) > 15:
+                gone = rng.choice([i for i, w in enumerate(own) if w not in kept])
+                del own[gone]
+            # the rarest words stand elsewhere too
+            rows.append((len(rows), " ".join([*rng.sample(body, len(body) // 2), "x", *["y"] * 20, *own, "z", *rng.sample(body, 2)])))
+            want[len(rows) - 1] = t.label
+    out = {r.doc_id: r for r in licenses.license_scan(documents(rows)).collect()}
+    for i, label in want.items():
+        assert label in out[i].labels.split(",") and out[i].score > 0.8, (label, rows[i])
+
+
 def parse(url):
     if url is None or "://" not in url:
         return "", ""

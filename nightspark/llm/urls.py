@@ -70,7 +70,12 @@ def mine_rules(
     labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.5, min_lift: float = 1.2, most_common: float = 0.95,
     min_rows: int = 20,
 ) -> DataFrame:
-    """(tokens, confidence, support, pivot): token sets that make "bad" likely; pivot is the rarest token.
+    """(tokens, confidence, support, pivot, classes): token sets that make "bad" likely; pivot is the rarest token.
+
+    Tokens that stand in exactly the same labelled URLs are one item, named by
+    the smallest of them: each of them makes the same rules, of which all
+    combinations would be 2^n.  ``classes`` holds, for each of ``tokens``, the
+    tokens it stands for (a URL needs one of each).
 
     ``labelled`` has columns tokens and bad.  Tokens on ``most_common`` or more
     of the URLs tell nothing and are no items; a rule holds for ``min_rows``
@@ -78,29 +83,38 @@ def mine_rules(
     items to the driver: their number is bounded by the items of a URL over
     ``min_support``, whatever the input.
     """
-    items = cut(labelled.select("tokens", "bad"), "url-items")
+    row = F.monotonically_increasing_id()
+    items = cut(labelled.select("tokens", "bad", row.alias("row")), "url-items")
     total = items.count()
-    counts = items.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    often = [r.token for r in counts.filter(F.col("n") >= most_common * max(total, 1)).collect()]
-    tokens = F.array_except("tokens", F.array(*map(F.lit, often)).cast("array<string>")) if often else F.col("tokens")
-    baskets = items.select(F.when(F.col("bad"), F.array_append(tokens, BAD)).otherwise(tokens).alias("items"))
+    # two 64-bit sums over the rows of a token tell in which URLs it stands
+    sums = [F.sum(F.xxhash64(F.lit(k), "row").cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
+    counts = cut(items.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), *sums), "url-tokens")
     support = min(1.0, max(min_support, min_rows / max(total, 1)))
+    used = counts.filter((F.col("n") < most_common * max(total, 1)) & (F.col("n") >= support * total - 0.5))
+    like = cut(used.groupBy("n", "s1", "s2").agg(F.sort_array(F.collect_set("token")).alias("members")), "url-classes")
+    named = like.select(F.explode("members").alias("token"), F.element_at("members", 1).alias("item"))
+    own = items.select("row", F.explode("tokens").alias("token")).join(named, "token").groupBy("row").agg(F.collect_set("item").alias("own"))
+    tokens = F.coalesce("own", F.array().cast("array<string>"))
+    baskets = items.join(own, "row", "left").select(F.when(F.col("bad"), F.array_append(tokens, BAD)).otherwise(tokens).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     rules = cut(model.associationRules.filter((F.col("support") * max(total, 1) >= min_rows - 0.5) & (F.element_at("consequent", 1) == BAD) & (F.col("lift") >= min_lift)).select(
         F.sort_array("antecedent").alias("tokens"), "confidence", "support"), "url-rules")
-    single = rules.select("tokens", F.explode("tokens").alias("token")).join(counts, "token").groupBy("tokens").agg(
-        F.min(F.struct("n", "token")).alias("least"))
-    return rules.join(single, "tokens").select("tokens", "confidence", "support", F.col("least.token").alias("pivot"))
+    classes = like.select(F.element_at("members", 1).alias("token"), "n", "members")
+    single = rules.select("tokens", F.explode("tokens").alias("token")).join(classes, "token").groupBy("tokens").agg(
+        F.min(F.struct("n", "token")).alias("least"), F.sort_array(F.collect_list("members")).alias("classes"))
+    return rules.join(single, "tokens").select("tokens", "confidence", "support", F.col("least.token").alias("pivot"), "classes")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, confidence): the strongest rule all of whose tokens the URL has; URLs without one are not returned.
+    """(url, confidence): the strongest rule of whose token classes the URL has one each; URLs without one are not returned.
 
     ``urls`` has distinct url and their tokens; ``rules`` are few (bounded by their support).
     """
-    index = rules.select(F.col("pivot").alias("_token"), F.col("tokens").alias("_rule"), "confidence")
+    pivots = F.element_at(F.filter("classes", lambda c: F.array_contains(c, F.col("pivot"))), 1)
+    index = rules.select(F.explode(pivots).alias("_token"), F.col("classes").alias("_rule"), "confidence")
     posted = urls.select("url", "tokens", F.explode("tokens").alias("_token")).join(index, "_token")
-    return posted.filter(F.size(F.array_except("_rule", "tokens")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
+    return posted.filter(F.forall("_rule", lambda c: F.arrays_overlap(c, F.col("tokens")))).groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
 def judge_urls(

@@ -127,3 +127,16 @@ def test_mined_rules_equal_counts(spark):
             if own and sum(own) >= 20 and sum(own) / len(own) >= 0.5 and sum(own) / len(own) / rate >= 1.2:
                 want[s] = (round(sum(own) / len(own), 6), round(sum(own) / len(rows), 6))
     assert got == want and ("a", "b") in want
+
+
+def test_forty_parts_of_one_path_are_one_item(spark):
+    path = "/".join(f"p{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+    made = [f"http://a.info/{path}"] * 60 + [f"http://b.info/{c}" for c in "xyz"] * 40
+    pages = spark.createDataFrame(list(enumerate([*made, "http://c.info/pab/other"])), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 60), 0) for i in range(180)], "doc_id long, quality int, toxic int")
+    tokens = pages.filter("page_id < 180").select(urls.url_tokens(urls.F.col("url")).alias("tokens"), (urls.F.col("page_id") < 60).alias("bad"))
+    rule, = urls.mine_rules(tokens).collect()
+    assert len(rule.classes) == 1 and len(rule.classes[0]) == 41 and rule.confidence == 1
+    out = {r.page_id: r.verdict for r in urls.judge_urls(pages, labels).collect()}
+    # one of the tokens is enough, as a rule of its own would be
+    assert {i for i, v in out.items() if v == "block"} == {*range(60), 180}

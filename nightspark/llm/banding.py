@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nightspark.llm.common import cut
+from nightspark.llm.common import cut, drop
 from nightspark.llm.components import connected_components
 
 
@@ -47,8 +47,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held_key, held_id, np.array([False]))
 
 
-def shared_buckets(bands: DataFrame) -> DataFrame:
-    """The distinct rows (key, id) of keys that several ids share; ``bands`` is read from a table.
+def shared_buckets(bands: DataFrame, name: str) -> DataFrame:
+    """A table of the distinct rows (key, id) of keys that several ids share; ``bands`` is read from a table.
 
     Rows are dealt by (key, id), so a bucket with a third of all rows is spread
     over a third of the partitions; a run that a partition border cuts is put
@@ -60,8 +60,10 @@ def shared_buckets(bands: DataFrame) -> DataFrame:
     border = runs.filter("NOT sure").select("key").distinct()
     spread = runs.join(border, "key", "left_semi").select("key", "id").distinct()
     wide = spread.groupBy("key").count().filter("count > 1").select("key")
-    return runs.filter("sure").join(border, "key", "left_anti").select("key", "id").union(
-        spread.join(wide, "key", "left_semi"))
+    out = cut(runs.filter("sure").join(border, "key", "left_anti").select("key", "id").union(
+        spread.join(wide, "key", "left_semi")), name)
+    drop(runs)
+    return out
 
 
 #: Buckets of so many members (besides the centre) or fewer are compared pair by pair.
@@ -70,12 +72,14 @@ FEW = 8
 
 def linked(
     bands: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[list[bytes]], list[np.ndarray]],
-    percent: int, name: str, likely: Callable[[DataFrame], DataFrame] | None = None,
+    percent: int, name: str, likely: Callable[[DataFrame], DataFrame] | None = None, release: tuple[DataFrame, ...] = (),
 ) -> DataFrame:
     """Components (node, component) under links of ``percent`` Jaccard similarity between ids that share a bucket.
 
     ``texts_of`` gives (id, body) for ids, ``sets_of`` the sorted distinct
     hashes of bodies; ``likely`` may drop pairs (a, b) that cannot be links.
+    Tables of ``release`` hold nothing but ``bands`` and are deleted when these
+    are read; tables of this function are as soon as nothing reads them.
 
     First all members of a bucket are compared with its smallest id, the
     centre.  Where a bucket then still holds several components, its members are
@@ -135,21 +139,28 @@ def linked(
                          pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(small))],
                         ["a", "b", "group", "e", "nd", "n", "place", "small"])
 
-    shared = cut(shared_buckets(bands), f"{name}-shared")
+    shared = shared_buckets(bands, f"{name}-shared")
+    if release:
+        drop(*release)
     texts = cut(texts_of(shared.select("id").distinct()), f"{name}-texts")
 
     def with_texts(pairs: DataFrame) -> DataFrame:
         return pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
 
+    def components(of: DataFrame) -> DataFrame:
+        return cut(connected_components(of), f"{name}-groups")
+
     def verified(pairs: DataFrame) -> DataFrame:
         return cut(with_texts(likely(pairs) if likely else pairs).mapInArrow(confirm, "a long, b long"), f"{name}-links")
 
     centre = shared.groupBy("key").agg(F.min("id").alias("a"))
     starred = cut(shared.join(centre, "key").filter("id <> a").select("key", "a", F.col("id").alias("b")), f"{name}-stars")
+    drop(shared)
     links = verified(starred.select("a", "b").distinct())
-    groups = cut(connected_components(links), f"{name}-groups")
+    groups = components(links)
     named = starred.join(groups.toDF("b", "group"), "b", "left").withColumn("group", F.coalesce("group", "b"))
     named = cut(named, f"{name}-named")
+    drop(starred)
     mixed = cut(named.groupBy("key").agg(
         F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("key", "n"), f"{name}-mixed")
     few = named.join(mixed.filter(F.col("n") <= FEW).select("key"), "key", "left_semi").select("key", "b", "group")
@@ -159,9 +170,11 @@ def linked(
     rest = rest.join(groups.toDF("a", "_ga"), "a", "left").withColumn("inside", F.col("group") == F.coalesce("_ga", "a")).drop("_ga")
     rest = cut(rest, f"{name}-rest")
     if mixed.isEmpty():
+        drop(texts, links, named, mixed, rest)
         return groups
     spread = cut(with_texts(rest).mapInArrow(
         differences, "a long, b long, group long, e long, nd int, n int, place int, small boolean"), f"{name}-differences")
+    drop(rest)
     x, y = (spread.select(*[F.col(c).alias(f"{side}_{c}") for c in spread.columns]) for side in "xy")
     need = F.col("x_nd") + F.col("y_nd") - cap * (F.col("x_n") + F.col("y_n")) - 1e-9
     meet = x.filter("x_small").join(y, (F.col("x_a") == F.col("y_a")) & (F.col("x_e") == F.col("y_e")) & (F.col("x_group") != F.col("y_group")) & (
@@ -169,4 +182,10 @@ def linked(
         2 * (F.col("x_nd") - F.col("x_place")) >= need) & (2 * (F.col("y_nd") - F.col("y_place")) >= need))
     pairs = meet.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).union(direct).distinct()
     found = verified(pairs)
-    return groups if found.isEmpty() else cut(connected_components(links.union(found)), f"{name}-groups")
+    drop(spread, texts, named, mixed)
+    if found.isEmpty():
+        drop(links, found)
+        return groups
+    out = components(links.union(found))
+    drop(links, found, groups)
+    return out

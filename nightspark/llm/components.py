@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nightspark.llm.common import cut
+from nightspark.llm.common import cut, drop
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -41,7 +41,8 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
     edges = cut(links.filter(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "links")
     before = _state(edges)
     while before[0]:
-        edges = cut(_small_star(_large_star(edges)), "links")
+        last, edges = edges, cut(_small_star(_large_star(edges)), "links")
+        drop(last)
         after = _state(edges)
         if after == before:
             break

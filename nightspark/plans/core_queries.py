@@ -183,7 +183,7 @@ def _(L):
 
 @query("assign_curve", f"SELECT night_record_id, start_idx, morphotype_curve, {d6('curve_dist')} FROM ev")
 def _(L):
-    return labels.label_events(L.raw_events, L.morph_model, X.CURVE_CENTROIDS, L.p.curve_max_s).select(
+    return labels.label_events(L.raw_events, L.morph_model, X.CURVE_CENTROIDS, L.p.curve_max_s, places_per_unit=X.CURVE_PLACES_PER_UNIT).select(
         KEY, "start_idx", "morphotype_curve", "curve_dist")
 
 

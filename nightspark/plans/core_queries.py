@@ -97,8 +97,7 @@ _SHAPE = ("slope_desat_pct_s", "slope_recov_pct_s", "auc_spo2_pct_s", "delta_hr_
 def _(L):
     base = L.raw_events.select(
         KEY, "start_idx", "end_idx", "baseline_spo2", "nadir_spo2", "drop_pct", "duration_s", "ts_start", "ts_end", "nadir_idx")
-    nadir = L.signal.select(KEY, F.col("seq").alias("nadir_idx"), F.col("timestamp").alias("ts_nadir"))
-    full = detect.characterize_events(base.join(nadir, [KEY, "nadir_idx"]), L.qc, L.layout, L.p, curves=False)
+    full = detect.characterize_events(detect.with_nadir_time(base, L.signal, L.layout), L.qc, L.layout, L.p, curves=False)
     return full.select(KEY, "start_idx", *_SHAPE, "in_sleep", *[f"meets_{t}pct" for t in C.DROP_THRESHOLDS_PCT], "ird_event")
 
 

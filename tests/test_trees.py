@@ -88,3 +88,28 @@ def test_draws_are_fair():
         used += trees.Tree(trees.seeded(s), 1).allowed(6, Growth(share=0.5))[0]
     assert (abs(used - 200) < 50).all()
     assert len(set(itertools.starmap(trees.seeded, itertools.product(range(30), range(30))))) == 900
+
+
+def test_deep_bagged_splits_and_equal_rows(spark, monkeypatch):
+    """Splits over filled bins equal those over all bins; equal rows of a boosted fit are one row; bagged models are cut into tasks."""
+    rng = np.random.default_rng(5)
+    growth = Growth(boosted=False, classes=3, leaf_rows=2, bins=16)
+    codes, y, times = rng.integers(0, 16, (400, 4)).astype(np.uint8), rng.integers(0, 3, 400), rng.integers(1, 5, 400).astype(float)
+    slot, weight = np.concatenate([np.arange(60), rng.integers(0, 60, 340)]), np.array([1.0, 0.7, 1.9])
+    picks = np.sort(np.stack([rng.permutation(4)[:2] for _ in range(60)]), 1)
+    allowed = np.zeros((60, 4), bool)
+    np.put_along_axis(allowed, picks, True, 1)
+    sums = trees.row_sums(growth, y, weight, None, times)
+    dense = trees.best_splits(trees.histogram(codes, slot, sums, 60, 16), allowed, growth)
+    sparse = trees.bagged_splits(codes, slot, y, times, picks, weight, growth)
+    assert np.array_equal(dense.feature, sparse.feature) and (dense.feature >= 0).any()
+    found = dense.feature >= 0
+    assert np.array_equal(dense.cut[found], sparse.cut[found]) and np.allclose(dense.left[found], sparse.left[found]) and np.allclose(dense.total, sparse.total)
+    seen = []
+    real = trees.in_tasks
+    monkeypatch.setattr(trees, "in_tasks", lambda data, *a: seen.append(data.count()) or real(data, *a))
+    thrice = [(*r[:6], 3 * r[6] + i) for r in rows_of(200) for i in range(3)]
+    _, grown = trees.out_of_fold(table(spark, thrice), ["a", "b", "c"], ["y"], "owner", ["id"], Growth(trees=4, depth=3))
+    assert seen[0] <= 200 and len(grown) == 5
+    _, grown = trees.out_of_fold(table(spark, rows_of(200)), ["a", "b", "c"], ["k"], "owner", ["id"], Growth(boosted=False, classes=3, trees=25, depth=3))
+    assert all(len(t) == 25 for t in grown.values())

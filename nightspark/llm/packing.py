@@ -10,10 +10,11 @@ fit.  Pieces then find their place by their rank among those of equal length.
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -29,6 +30,11 @@ SEQUENCE = 4096
 END_ID = 1
 #: Words held by a Python worker with their ids; then it starts anew.
 CACHE_WORDS = 500_000
+#: Parts that are tokenised in one call, and what stands between those that are not plain letters; its id is no other text's.
+TOGETHER = 2000
+MARK = "|"
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+PUNCTUATION = string.punctuation
 #: White space of str.split that is none to the tokenizer (all code points were compared); each has ids of its own.
 NO_SPACE = "\x1c\x1d\x1e\x1f"
 PART = re.compile(rf"[\S{NO_SPACE}]+")
@@ -45,49 +51,78 @@ class WordIds:
 
     The tokenizer neither joins text over white space nor lets it change what
     stands beside it, so a text's ids are its parts' ids in a row.  New parts
-    of plain letters are tokenised in one call; the ids at which words end
-    tell them apart again.
+    are tokenised many in one call: words of Latin-1 letters, which the tokenizer
+    parts from ASCII punctuation behind them, are told apart by the ids at which
+    words end, other parts by a mark between them.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # small letters of Latin-1 and single blanks are left as they are by the normaliser and parted at the blanks
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.size = max(self.tokenizer.get_vocab().values()) + 1
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.size)])
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else -1
         self.known: dict[str, bytes] = {}
 
     def _exact(self, part: str) -> bytes:
         return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _together(self, parts: list[str], tokenizer, text: str, last: Callable[[np.ndarray], np.ndarray], marks: int) -> None:
+        """Learn parts from the ids of one text; ``last`` tells where parts end, ``marks`` ids behind each are not its own."""
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (4 * (np.flatnonzero(last(ids)) + 1)).tolist()
+        if len(cuts) == len(parts):
+            raw = ids.tobytes()
+            self.known.update(zip(parts, [raw[a : b - 4 * marks] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+        else:
+            self.known.update((x, self._exact(x)) for x in parts)
+
     def _learn(self, parts: set[str]) -> None:
-        plain: dict[str, list[tuple[str, str]]] = defaultdict(list)
+        plain: dict[str, list[str]] = defaultdict(list)
+        other = []
         for part in parts:
-            body, tail = (part[:-1], part[-1]) if part[-1] in ".," else (part, "")
-            if body.isascii() and body.isalpha():
-                plain[body.lower()].append((part, tail))
-            else:
+            body = part.rstrip(PUNCTUATION)
+            if body.isalpha() and (body.isascii() or LATIN.fullmatch(body)):
+                plain[body.lower()].append(part)
+            elif MARK in part:
                 self.known[part] = self._exact(part)
-        words = [w for w in plain if w not in self.known]
-        for i in range(0, len(words), 2000):
-            some = words[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                self.known.update(zip(some, (x.tobytes() for x in np.split(ids, cuts)), strict=False))
             else:
-                self.known.update((w, self._exact(w)) for w in some)
-        marks = {tail: self._exact(tail) if tail else b"" for tail in ("", ".", ",")}
+                other.append(part)
+        for i in range(0, len(other), TOGETHER):
+            some = other[i : i + TOGETHER]
+            self._together(some, self.tokenizer, "".join([f"{x} {MARK} " for x in some]), lambda ids: ids == self.mark, 1)
+        words = [w for w in plain if w not in self.known]
+        for i in range(0, len(words), TOGETHER):
+            some = words[i : i + TOGETHER]
+            self._together(some, self.letters, " ".join(some), lambda ids: self.ends[ids], 0)
+        known = self.known
         for word, uses in plain.items():
-            for part, tail in uses:
-                self.known[part] = self.known[word] + marks[tail]
+            n, own = len(word), known[word]
+            for part in uses:
+                if len(part) == n:
+                    known[part] = own
+                    continue
+                tail = part[n:]
+                if tail not in known:
+                    known[tail] = self._exact(tail)
+                known[part] = own + known[tail]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         parts = [text_parts(t or "") for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = {x for p in parts for x in p if x not in self.known}
+        new: set[str] = set()
+        for p in parts:
+            new.update(p)
+        new.difference_update(self.known)
         if new:
             self._learn(new)
         known = self.known

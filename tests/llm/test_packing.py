@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import string
 import zlib
 from collections import Counter
 
@@ -106,3 +107,15 @@ def test_control_characters_have_ids_of_their_own(documents, exact):
     rows = list(enumerate(CONTROLS))
     assert {(r.doc_id, r.length) for r in packing.pack(documents(rows), PATH).collect()} == {(i, len(exact(t)) + 1) for i, t in rows}
     assert {tuple(r) for r in separators.document_token_counts(documents(rows), PATH).collect()} == {(i, len(exact(t))) for i, t in rows}
+
+
+def test_parts_that_are_not_plain_letters_are_tokenised_together(exact):
+    """They were encoded one by one: a third of the time of new words, for an operator over its CPU budget."""
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("aBé$&|1ñ.*", k=rng.randrange(1, 7))) for _ in range(400)) for _ in range(10)] + ["a | b || c|", "\u0301x é\u0301 |\u0301", "don' it's ÀÖß ÿ?! É_, µm ªº. ĳ Å x'", "".join(f" a{chr(c)}b{chr(c)} {chr(c)}." for c in range(0x80, 0x250))]
+    own, single = packing.WordIds(PATH), []
+    one = own._exact
+    own._exact = lambda part: single.append(part) or one(part)
+    got = own.ids(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [exact(t) for t in texts]
+    assert all("|" in x or not x.strip(string.punctuation) for x in single)

@@ -90,3 +90,27 @@ def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
     monkeypatch.setattr(hashing, "CHUNK", 7)
     assert all((x == y).all() for x, y in zip(whole, hashing.word_hashes(texts, near.SPACES), strict=True))
     assert [len(x) for x in whole] == [len((t or b"").split()) for t in texts]
+
+
+def test_a_large_group_of_near_copies_lists_few_pairs(documents, monkeypatch):
+    """Its members all lack what the centre alone has, so nearly every pair of them met."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    base, rows = [rng.choice(words) for _ in range(120)], []
+    for i in range(200):
+        text = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            text[rng.randrange(120)] = rng.choice(words)
+        rows.append((i, " ".join(text)))
+    counts, linked = [], near.linked
+
+    def counting(bands, texts_of, sets_of, percent, name, likely):
+        def counted(pairs):
+            counts.append(pairs.count())
+            return likely(pairs)
+
+        return linked(bands, texts_of, sets_of, percent, name, counted)
+
+    monkeypatch.setattr(near, "linked", counting)
+    near.near_duplicates(documents(rows), shingle=3, percent=85).collect()
+    assert max(counts) < 4000
